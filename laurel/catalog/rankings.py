@@ -59,15 +59,15 @@ def fit_prediction(spark, sf):
 
 # --- training -------------------------------------------------------------------------
 
-_SAMPLED = f"""{S.LABELLED}, budget AS (SELECT greatest(4 * count(*) FILTER (tier > 0), 2000 - count(*) FILTER (tier > 0)) AS b FROM labelled),
+_SAMPLED = f"""{S.LABELLED}, budget AS (SELECT greatest(count(*) FILTER (tier > 0), 2000 - count(*) FILTER (tier > 0)) AS b FROM labelled),
 training AS (SELECT candidate_id, tier FROM labelled WHERE tier > 0 UNION ALL
   SELECT candidate_id, tier FROM (SELECT *, row_number() OVER (ORDER BY md5(candidate_id || ':42'), candidate_id) AS n FROM labelled WHERE tier = 0), budget WHERE n <= b)"""
 
 
 @query("training_rows", f"{_SAMPLED} SELECT candidate_id, tier FROM training")
 def training_rows(spark, sf):
-    """All positives and a bounded sample of negatives (floor of 2000 rows)."""
-    return sampling.training_rows(_labels(spark, sf), min_rows=2000)
+    """All positives and as many sampled negatives (floor of 2000 rows)."""
+    return sampling.training_rows(_labels(spark, sf), negative_ratio=1, min_rows=2000)
 
 
 @query("query_groups", f"""{_SAMPLED}, g AS (SELECT *, (('0x' || substr(md5(candidate_id || ':42'), 1, 8))::UBIGINT % 24)::INTEGER AS query_group FROM training)
@@ -200,8 +200,9 @@ def _bradley_terry(players: str) -> str:
             "evidence_confidence_bonus": 0.05, "has_production_keywords": 0.04,
             "product_company_ratio": 0.04, "behavioural_composite": 0.03}
     duel = " + ".join(
-        f"{w}::DOUBLE * (CASE WHEN {'round(a.' + c + ', 9)' if c == 'rerank_score' else 'a.' + c} > {'round(b.' + c + ', 9)' if c == 'rerank_score' else 'b.' + c} THEN 1.0 "
-        f"WHEN {'round(a.' + c + ', 9)' if c == 'rerank_score' else 'a.' + c} = {'round(b.' + c + ', 9)' if c == 'rerank_score' else 'b.' + c} THEN 0.5 ELSE 0.0 END)" for c, w in crit.items()
+        f"{w}::DOUBLE * (CASE WHEN {_key('a.' + c)} > {_key('b.' + c)} THEN 1.0 "
+        f"WHEN {_key('a.' + c)} = {_key('b.' + c)} THEN 0.5 ELSE 0.0 END)"
+        for c, w in crit.items()
     )
     return f""",
 players AS MATERIALIZED ({players}),
@@ -396,8 +397,8 @@ def coverage_pool(spark, sf):
 # --- comparing two rankings -----------------------------------------------------------
 
 _AB = f"""{_FINAL}, llm AS (SELECT f.*, ((substr(candidate_id, 6)::BIGINT * 7919) % 1000) / 1000.0::DOUBLE AS llm_fit_score FROM scored f WHERE jd_id = 0),
-b AS (SELECT *, row_number() OVER (ORDER BY sc DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'{_CORE} * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1) LIMIT 100),
-w AS (SELECT *, row_number() OVER (ORDER BY sc DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'(0.85::DOUBLE * {_CORE} + 0.15::DOUBLE * llm_fit_score) * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1) LIMIT 100)"""
+b AS (SELECT *, row_number() OVER (ORDER BY sc DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'{_CORE} * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1)),
+w AS (SELECT *, row_number() OVER (ORDER BY sc DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'(0.85::DOUBLE * {_CORE} + 0.15::DOUBLE * llm_fit_score) * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1))"""
 
 
 def _ab(spark, sf):
@@ -410,9 +411,9 @@ def _ab(spark, sf):
     return [df.select("candidate_id", "rank") for df in lists]
 
 
-@query("ab_churn", f"""{_AB.replace('row_number() OVER (ORDER BY sc DESC, candidate_id) AS rank FROM (SELECT', 'row_number() OVER (ORDER BY sc DESC, candidate_id) AS rank FROM (SELECT')}
+@query("ab_churn", f"""{_AB}
 SELECT (SELECT count(*) FROM b JOIN w USING (rank) WHERE rank <= 20 AND b.candidate_id <> w.candidate_id) AS moved,
-  (SELECT count(*) FROM b WHERE rank <= 100 AND candidate_id IN (SELECT candidate_id FROM w WHERE rank <= 100)) AS overlap""".replace(" LIMIT 100)", ")").replace("FROM b JOIN w USING (rank) WHERE", "FROM b JOIN w USING (rank) WHERE"))
+  (SELECT count(*) FROM b WHERE rank <= 100 AND candidate_id IN (SELECT candidate_id FROM w WHERE rank <= 100)) AS overlap""")
 def ab_churn(spark, sf):
     without, with_score = _ab(spark, sf)
     return metrics.compare_rankings(without, with_score, "candidate_id")

@@ -16,6 +16,7 @@ from laurel import vocab
 from laurel.functions.text import extract_skills, join_nonempty, text_contains_any
 from laurel.operators.ranking import fuse_rankings, top_k
 from laurel.operators.retrieval import hashed_cosine
+from laurel.session import cut_lineage
 
 RRF_K = 60
 
@@ -181,7 +182,10 @@ def structured_rows(graph: EvidenceGraph, intents: DataFrame, limit: int = 10) -
         F.posexplode("skill_names").alias("skill_at", "skill_name"),
     )
     strict = wanted.filter("strict")
-    debuggers = find_production_debuggers(graph, strict.select("skill_name"), 4, limit)
+    # at most ``limit`` rows per skill, read by both branches below
+    debuggers = cut_lineage(
+        find_production_debuggers(graph, strict.select("skill_name"), 4, limit)
+    )
     relaxed_skills = strict.select("skill_name").distinct().join(
         debuggers.select("skill_name").distinct(), "skill_name", "left_anti"
     )
@@ -297,7 +301,8 @@ def search(
 ) -> DataFrame:
     """Evidence search for a table of texts (query_id, text)."""
     intents = query_intent(queries)
-    structured = structured_rows(graph, intents, limit)
+    # both lists are top-k sized and are read several times by the fusion
+    structured = cut_lineage(structured_rows(graph, intents, limit))
     hits = evidence_hits(all_evidence(graph), queries, semantic_k, code=code)
-    semantic = semantic_rows(hits if hybrid else hits.limit(0))
+    semantic = cut_lineage(semantic_rows(hits if hybrid else hits.limit(0)))
     return hybrid_results(structured, semantic, limit)

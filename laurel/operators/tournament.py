@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laurel.operators.ranking import score_key
+
 CRITERIA = {
     "jd_fit_score": 0.26, "rerank_score": 0.20, "retrieval_skill_count": 0.14,
     "jd_skill_match_count": 0.12, "assessment_mean_score": 0.12,
@@ -79,5 +81,6 @@ def run_tournament(
     schema = head.select(
         group, id_col, F.lit(0.0).cast("double").alias("tournament_score")
     ).schema
-    cols = [F.col(c).cast("double").alias(c) for c in columns]
+    # values that differ by rounding noise only are ties
+    cols = [score_key(F.col(c)).cast("double").alias(c) for c in columns]
     return head.select(group, id_col, *cols).groupBy(group).applyInPandas(play, schema)
