@@ -11,14 +11,14 @@ from laurel.sources import sinks
 from laurel.sources import tables as t
 
 # Several keys per minute in the event table: the event type is the message key.
-_CHAIN = """WITH RECURSIVE m AS (SELECT event_type AS key, epoch_us(ts) AS at, min(event_id) AS node FROM events GROUP BY ALL),
-chain AS (SELECT key, min(at) AS at FROM m GROUP BY key
-  UNION ALL SELECT c.key, (SELECT min(m.at) FROM m WHERE m.key = c.key AND m.at >= c.at + 300000000) FROM chain c
-  WHERE (SELECT min(m.at) FROM m WHERE m.key = c.key AND m.at >= c.at + 300000000) IS NOT NULL)
+_CHAIN = """WITH RECURSIVE m AS (SELECT event_type AS key, epoch_us(ts) AS tick, min(event_id) AS node FROM events GROUP BY ALL),
+chain AS (SELECT key, min(tick) AS tick FROM m GROUP BY key
+  UNION ALL SELECT c.key, (SELECT min(m.tick) FROM m WHERE m.key = c.key AND m.tick >= c.tick + 300000000) FROM chain c
+  WHERE (SELECT min(m.tick) FROM m WHERE m.key = c.key AND m.tick >= c.tick + 300000000) IS NOT NULL)
 """
 
 
-@query("first_sightings", f"{_CHAIN} SELECT event_id, event_type, event_id IN (SELECT node FROM chain JOIN m USING (key, at)) AS accepted FROM events")
+@query("first_sightings", f"{_CHAIN} SELECT event_id, event_type, event_id IN (SELECT node FROM chain JOIN m USING (key, tick)) AS accepted FROM events")
 def first_sightings(spark, sf):
     """Repeats within 300 s of the last accepted event of their type are duplicates."""
     df = t.events(spark, sf).select("event_id", "event_type", "ts")

@@ -176,11 +176,12 @@ def structured_rows(graph: EvidenceGraph, intents: DataFrame, limit: int = 10) -
     """Per query: developers found through its skills. The best confidence wins, the place
     is where the developer was first seen."""
     c = F.col
-    wanted = intents.select(
+    # one row per query and skill: tiny, and every branch below starts from it
+    wanted = cut_lineage(intents.select(
         "query_id", "min_complexity", "min_confidence",
         (c("require_production") | (c("min_complexity") >= 4)).alias("strict"),
         F.posexplode("skill_names").alias("skill_at", "skill_name"),
-    )
+    ))
     strict = wanted.filter("strict")
     # at most ``limit`` rows per skill, read by both branches below
     debuggers = cut_lineage(
