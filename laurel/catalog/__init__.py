@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_TOPICS = ("profiles", "texts", "rankings", "evidence", "service", "streams")
+_TOPICS = ("profiles", "texts", "rankings", "evidence", "service", "streams", "files")
 
 
 def _load():
