@@ -72,19 +72,17 @@ def candidate_schema(signals_field: str = "signals") -> T.StructType:
 def scan_candidates(
     spark: SparkSession, path: str | list[str], signals_field: str = "signals"
 ) -> DataFrame:
-    """JSON lines with the malformed ones kept in ``_corrupt``; blank lines vanish.
+    """JSON lines with the malformed ones kept whole in ``_corrupt``; blank lines vanish.
 
     The signals object may carry another name in the files; it is always called
-    ``signals`` here.
+    ``signals`` here. Lines are parsed by ``from_json``, so that a count of the malformed
+    ones needs no cache.
     """
     schema = candidate_schema(signals_field).add(CORRUPT, T.StringType())
-    raw = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    return raw.withColumnRenamed(signals_field, "signals")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", schema, options).alias("c")).select("c.*")
+    return parsed.withColumnRenamed(signals_field, "signals")
 
 
 def read_candidates(
@@ -96,19 +94,9 @@ def read_candidates(
 
 
 def scan_quality(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
-    """One row: parsed lines, malformed lines, all non-blank lines.
-
-    Counted on the text, with one JSON parse per line, so that no cache is needed.
-    """
-    lines = count_source(spark, path).filter(F.trim("value") != "")
-    schema = candidate_schema(signals_field).add(CORRUPT, T.StringType())
-    parsed = lines.select(
-        F.from_json(
-            "value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-        ).alias("c")
-    )
-    bad = F.col(f"c.{CORRUPT}").isNotNull()
-    return parsed.agg(
+    """One row: parsed lines, malformed lines, all non-blank lines."""
+    bad = F.col(CORRUPT).isNotNull()
+    return scan_candidates(spark, path, signals_field).agg(
         F.count_if(~bad).alias("parsed"),
         F.count_if(bad).alias("malformed"),
         F.count(F.lit(1)).alias("lines"),
@@ -117,8 +105,8 @@ def scan_quality(spark: SparkSession, path: str, signals_field: str = "signals")
 
 def malformed_lines(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
     """The first ``n`` malformed lines, for the log."""
-    df = scan_candidates(spark, path).select("candidate_id", CORRUPT)
-    return df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT).limit(n)
+    df = scan_candidates(spark, path).select(CORRUPT)
+    return df.filter(F.col(CORRUPT).isNotNull()).limit(n)
 
 
 def count_source(spark: SparkSession, path: str) -> DataFrame:
