@@ -162,7 +162,7 @@ retr AS MATERIALIZED (SELECT jd_id, candidate_id, (credit - min(credit) OVER w)
 
 _SCORED = S.LABELLED.replace("labelled AS (", "labelled AS MATERIALIZED (") + _RETRIEVAL + """,
 scored AS (SELECT l.*, jd_id, retrieval_score FROM labelled l JOIN retr USING (candidate_id)),
-head AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY 0.6::DOUBLE * proxy_label + 0.4::DOUBLE * retrieval_score DESC, candidate_id) AS head_rank
+head AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY floor((0.6::DOUBLE * proxy_label + 0.4::DOUBLE * retrieval_score) * 1e9 + 0.5) DESC, candidate_id) AS head_rank
   FROM scored WHERE is_honeypot <> 1 AND gate_passed) WHERE head_rank <= 300)"""
 
 
@@ -260,7 +260,7 @@ def core_scores(spark, sf):
 _FINAL = _TOURNAMENT + f""",
 final AS MATERIALIZED (SELECT s.*, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'(0.75::DOUBLE * {_CORE} + 0.15::DOUBLE * coalesce(rerank_score, 0) + 0.1::DOUBLE * coalesce(tournament_score, 0)) * {_SHOWN}')} ELSE 0 END AS final_score
   FROM scored s LEFT JOIN rerank r USING (jd_id, candidate_id) LEFT JOIN played p USING (jd_id, candidate_id)),
-top AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY round(final_score, 6) DESC, candidate_id) AS rank FROM final WHERE is_honeypot <> 1)"""
+top AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY {_key('final_score')} DESC, candidate_id) AS rank FROM final WHERE is_honeypot <> 1)"""
 
 
 @query("final_scores", f"{_FINAL} SELECT jd_id, candidate_id, round(final_score, 5) AS final_score FROM final")
@@ -397,8 +397,8 @@ def coverage_pool(spark, sf):
 # --- comparing two rankings -----------------------------------------------------------
 
 _AB = f"""{_FINAL}, llm AS (SELECT f.*, ((substr(candidate_id, 6)::BIGINT * 7919) % 1000) / 1000.0::DOUBLE AS llm_fit_score FROM scored f WHERE jd_id = 0),
-b AS (SELECT *, row_number() OVER (ORDER BY sc DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'{_CORE} * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1)),
-w AS (SELECT *, row_number() OVER (ORDER BY sc DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'(0.85::DOUBLE * {_CORE} + 0.15::DOUBLE * llm_fit_score) * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1))"""
+b AS (SELECT *, row_number() OVER (ORDER BY {_key('sc')} DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'{_CORE} * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1)),
+w AS (SELECT *, row_number() OVER (ORDER BY {_key('sc')} DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'(0.85::DOUBLE * {_CORE} + 0.15::DOUBLE * llm_fit_score) * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1))"""
 
 
 def _ab(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from laurel.functions.numeric import fixed
 from laurel.functions.text import collapse_whitespace, id_seed
-from laurel.operators.ranking import top_k
+from laurel.operators.ranking import score_key, top_k
 
 
 def company_phrase(ratio: Column) -> Column:
@@ -97,7 +97,7 @@ def rank_candidates(
     """Top k by score, then id; impossible profiles never appear. Adds ``rank``."""
     return top_k(
         scored.filter(F.col("is_honeypot") != 1), k,
-        [F.col(score).desc(), F.col("candidate_id").asc()], group,
+        [score_key(F.col(score)).desc(), F.col("candidate_id").asc()], group,
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laurel.functions.numeric import clip, scaled
-from laurel.operators.ranking import exact_quantiles, minmax, top_k
+from laurel.operators.ranking import exact_quantiles, minmax, score_key, top_k
 
 MERGE_WEIGHTS = {"fit": 0.40, "retrieval": 0.35, "signal": 0.25}
 HEAD_WEIGHTS = {"rerank_score": 0.15, "tournament_score": 0.10, "llm_fit_score": 0.15}
@@ -171,7 +171,7 @@ def provisional_head(
         admitted = admitted.filter("gate_passed")
     return top_k(
         admitted.withColumn("provisional", score), k,
-        [F.col("provisional").desc(), F.col(id_col).asc()], group, "head_rank",
+        [score_key(F.col("provisional")).desc(), F.col(id_col).asc()], group, "head_rank",
     )
 
 
