@@ -23,16 +23,14 @@ def main() -> None:
 
     from laurel.catalog import all_queries
     from laurel.catalog import profiles, rankings
-    from laurel.operators import explain
-    from laurel.plans.build import build_scored, rank
+    from laurel.plans.build import Scored, build_scored, rank
     from laurel.sources import tables
 
     registered = all_queries()
     run = lambda df: df.write.format("noop").mode("overwrite").save()
 
     def rank_stored():
-        best = explain.rank_candidates(rankings.final(spark, SF_DIR), 100, "jd_id")
-        return explain.output_table(explain.with_reasoning(best, "jd_id"), 100, "jd_id")
+        return rank(Scored(rankings.final(spark, SF_DIR), profiles.matrix(spark, SF_DIR)))
 
     def full_build():
         return rank(build_scored(

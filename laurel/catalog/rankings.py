@@ -114,14 +114,14 @@ def retrieval(spark, sf):
 def scored(spark, sf):
     """Every candidate for every job, with fit and retrieval scores."""
     return stored(spark, sf, "scored", lambda: build.per_job(
-        scoring.with_fit(scoring.with_proxy_label(matrix(spark, sf))).drop("corpus_text"),
+        scoring.with_fit(scoring.with_proxy_label(matrix(spark, sf))),
         jobs(spark, sf), retrieval(spark, sf),
     ))
 
 
 def heads(spark, sf):
     return stored(spark, sf, "heads", lambda: build.head_scores(
-        scored(spark, sf), jobs(spark, sf)
+        scored(spark, sf), matrix(spark, sf), jobs(spark, sf)
     ))
 
 
@@ -269,8 +269,8 @@ def final_scores(spark, sf):
 
 
 def ranked(spark, sf):
-    return stored(spark, sf, "ranked", lambda: explain.with_reasoning(
-        explain.rank_candidates(final(spark, sf), 100, "jd_id"), "jd_id"
+    return stored(spark, sf, "ranked", lambda: build.explained_top(
+        build.Scored(final(spark, sf), matrix(spark, sf)), 100
     ))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +13,23 @@ from laurel.operators.features import DEFAULT_AS_OF, feature_matrix
 from laurel.operators.quality import apply_gates
 from laurel.operators.retrieval import check_small, lexical_scores, retrieval_scores
 from laurel.operators.tournament import run_tournament
-from laurel.session import materialise
+from laurel.session import cut_lineage, materialise
 from laurel.sources.candidates import corpus_text, rerank_text
 from laurel.sources.tables import spread
 
 RERANK_HEAD = 300
 TOURNAMENT_HEAD = 60
 
+# What scoring reads. A pool is multiplied by the number of jobs, so only these columns go
+# through it; texts and display columns are joined to the rows of a head or a top-k.
+SCORING = (
+    "candidate_id", "is_honeypot", "gate_passed", "proxy_label", "ml_fit", "location_fit",
+    "availability_score", "engagement_score", "behavioural_composite",
+    "evidence_confidence_bonus", "jd_fit_score", "retrieval_skill_count",
+    "jd_skill_match_count", "assessment_mean_score", "has_production_keywords",
+    "product_company_ratio",
+)
+
 
 def gated_matrix(candidates: DataFrame, as_of: dt.date = DEFAULT_AS_OF, gates=None,
                  keep: tuple[str, ...] = ()) -> DataFrame:
@@ -34,18 +45,20 @@ def with_texts(candidates: DataFrame) -> DataFrame:
 
 def per_job(matrix: DataFrame, jobs: DataFrame, retrieval: DataFrame,
             id_col: str = "candidate_id") -> DataFrame:
-    """Every row for every job, with ``jd_id`` and its retrieval score (0 when absent).
+    """Every candidate for every job: the scoring columns, ``jd_id`` and the retrieval
+    score (0 when absent).
 
     The scores of a candidate are folded into one small map (a job has one entry), so the
-    wide matrix is joined once instead of once per job.
+    matrix is joined once instead of once per job.
     """
     check_small(jobs)
+    matrix = matrix.select(*[name for name in SCORING if name in matrix.columns])
     scores = retrieval.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("jd_id", "retrieval_score"))).alias("_m")
     )
     ids = jobs.agg(F.array_sort(F.collect_list("jd_id")).alias("ids")).scalar()
     return (
-        matrix.drop("retrieval_score").join(scores, id_col, "left")
+        matrix.join(scores, id_col, "left")
         .withColumn("_ids", ids)
         .withColumn("jd_id", F.explode("_ids"))
         .withColumn(
@@ -57,15 +70,20 @@ def per_job(matrix: DataFrame, jobs: DataFrame, retrieval: DataFrame,
 
 
 def head_scores(
-    scored: DataFrame, jobs: DataFrame, rerank_k: int = RERANK_HEAD,
+    scored: DataFrame, matrix: DataFrame, jobs: DataFrame, rerank_k: int = RERANK_HEAD,
     tournament_n: int = TOURNAMENT_HEAD,
 ) -> DataFrame:
     """(jd_id, candidate_id, rerank_score, tournament_score) of the head of each job.
 
-    ``scored`` has proxy_label, retrieval_score and rerank_text; only head rows go on.
+    Only the head rows of ``scored`` go on; they fetch their text from the matrix.
     """
-    head = scoring.provisional_head(scored, rerank_k, group="jd_id")
-    rerank = lexical_scores(head, jobs, "candidate_id", "rerank_text", "jd_id", "text")
+    head = cut_lineage(scoring.provisional_head(scored, rerank_k, group="jd_id"))
+    texts = matrix.select("candidate_id", "rerank_text").join(
+        F.broadcast(head.select("candidate_id", "jd_id")), "candidate_id"
+    )
+    rerank = cut_lineage(
+        lexical_scores(texts, jobs, "candidate_id", "rerank_text", "jd_id", "text")
+    )
     keys = ["jd_id", "candidate_id"]
     ranked = head.join(rerank.withColumnRenamed("score", "rerank_score"), keys)
     top = ranked.filter(F.col("head_rank") <= tournament_n)
@@ -84,11 +102,19 @@ def with_head_scores(scored: DataFrame, heads: DataFrame) -> DataFrame:
     })
 
 
+class Scored(NamedTuple):
+    """``scores``: one row per job and candidate with ``final_score``. ``matrix``: one row
+    per candidate with everything else."""
+
+    scores: DataFrame
+    matrix: DataFrame
+
+
 def build_scored(
     candidates: DataFrame, jobs: DataFrame, as_of: dt.date = DEFAULT_AS_OF,
     accuracy: bool = True, code: str = "crc32", model=None,
-) -> DataFrame:
-    """One row per job and candidate with every score column and ``final_score``."""
+) -> Scored:
+    """Scores of every job and candidate, with the matrix they were made from."""
     matrix = materialise(
         gated_matrix(with_texts(candidates), as_of, keep=("corpus_text", "rerank_text")),
         "matrix",
@@ -100,15 +126,26 @@ def build_scored(
         ),
         "retrieval",
     )
-    fitted = scoring.with_fit(scoring.with_proxy_label(matrix), model).drop("corpus_text")
+    fitted = scoring.with_fit(scoring.with_proxy_label(matrix), model)
     scored = per_job(fitted, jobs, retrieval)
     if accuracy:
-        heads = materialise(head_scores(scored, jobs), "heads")
+        heads = materialise(head_scores(scored, matrix, jobs), "heads")
         scored = with_head_scores(scored, heads)
-    return scoring.with_final_score(scored)
+    return Scored(scoring.with_final_score(scored), matrix)
+
+
+def explained_top(scored: Scored, k: int = 100) -> DataFrame:
+    """The first ``k`` of every job with matrix columns and reasoning. The winners, k rows
+    per job, are replicated to pick their rows out of the matrix."""
+    best = explain.rank_candidates(scored.scores, k, "jd_id").select(
+        "jd_id", "candidate_id", "rank", "final_score"
+    )
+    shown = scored.matrix.drop("corpus_text", "rerank_text").join(
+        F.broadcast(best), "candidate_id"
+    )
+    return explain.with_reasoning(shown, "jd_id")
 
 
-def rank(scored: DataFrame, k: int = 100) -> DataFrame:
+def rank(scored: Scored, k: int = 100) -> DataFrame:
     """The explained output table of every job."""
-    best = explain.rank_candidates(scored, k, "jd_id")
-    return explain.output_table(explain.with_reasoning(best, "jd_id"), k, "jd_id")
+    return explain.output_table(explained_top(scored, k), k, "jd_id")
