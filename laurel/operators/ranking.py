@@ -15,6 +15,10 @@ from laurel.session import cut_lineage
 SCORE_UNITS = 1e9
 
 
+# Offsets beyond this many rows (very many groups) are joined instead of replicated.
+MAX_REPLICATED_OFFSETS = 200_000
+
+
 def score_key(score: Column) -> Column:
     return F.floor(score * F.lit(SCORE_UNITS) + F.lit(0.5))
 
@@ -28,8 +32,9 @@ def global_rank(
     rows are range-partitioned on (group, order), which splits even a run of equal scores
     because the order ends in the id; the sorted rows are checkpointed so that their
     partition and position stay fixed; then one small table with the row count of each
-    (partition, group) gives the offsets. It has one row per partition plus one per
-    group boundary, whatever the data size.
+    (partition, group) gives the offsets. Without groups, or with a few, it has about one
+    row per partition and is replicated; with very many groups it is joined on (partition,
+    group), which no hot group can skew.
     """
     keys = [F.col(group)] if group else []
     placed = cut_lineage(
@@ -45,8 +50,11 @@ def global_rank(
         "_part", *keys, "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
+    bound = MAX_REPLICATED_OFFSETS
+    if group is None or cells.limit(bound + 1).count() <= bound:
+        offsets = F.broadcast(offsets)
     return (
-        placed.join(F.broadcast(offsets), ["_part", *([group] if group else [])])
+        placed.join(offsets, ["_part", *([group] if group else [])])
         .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
         .drop("_at", "_part", "_first", "_before")
     )

@@ -173,3 +173,10 @@ def test_top_k_without_group(spark):
     df = spark.range(100)
     got = [r["id"] for r in ranking.top_k(df, 5, [F.col("id").desc()]).orderBy("rank").collect()]
     assert got == [99, 98, 97, 96, 95]
+
+
+def test_rank_of_very_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MAX_REPLICATED_OFFSETS", 0)
+    df = spark.range(500).selectExpr("id", "id % 50 AS g", "cast(id AS double) AS score")
+    got = {r["id"]: r["rank"] for r in ranking.rank_positions(df, "score", "id", "g").collect()}
+    assert got == {i: 9 - i // 50 for i in range(500)}
