@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import chat, fingerprints, mixing, quality
+from laurel.llm import chat, fingerprints, mixing, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,20 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies"
     )
+
+
+@query("op5_simhash_anchors")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf, "documents"), path).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"),
+        "sequence_id", "offset",
+    )
