@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import chat, fingerprints, mixing, packing, quality, simhash
+from laurel.llm import chat, fingerprints, mixing, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,15 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"),
         "sequence_id", "offset",
     )
+
+
+@query("op9_pii_boosted_spans")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
+    certain = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint")
+              .alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.span_list(certain), 256).alias("base_sha256"),
+        pii.span_list(F.col("spans")).alias("spans"),
+    )
