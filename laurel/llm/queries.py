@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import chat, fingerprints, mixing, packing, pii, quality, simhash
+from laurel.llm import chat, fingerprints, mixing, packing, pii, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", *counts, F.sha2(pii.span_list(certain), 256).alias("base_sha256"),
         pii.span_list(F.col("spans")).alias("spans"),
     )
+
+
+@query("op6_toxicity_network")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
