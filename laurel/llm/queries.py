@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import chat, fingerprints, mixing, packing, pii, quality, simhash, toxicity
+from laurel.llm import chat, fingerprints, mixing, packing, pii, quality, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,12 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_toxicity_network")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, sf, "documents"))
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
