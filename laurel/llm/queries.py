@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import chat, fingerprints, mixing, packing, pii, quality, simhash, suffixes, toxicity
+from laurel.llm import chat, fingerprints, mixing, packing, pii, quality, simhash, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,12 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op4_fm_index_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, sf, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return left.select(
+        "doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
