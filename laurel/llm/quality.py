@@ -17,7 +17,7 @@ from laurel.llm.words import filled, words
 
 BITS = 14
 #: a document whose mean log ratio is below this is rejected
-THRESHOLD = -0.35
+THRESHOLD = -0.1
 SYMBOLS = "[#*$%&|<>]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 MIN_WORDS = 50
