@@ -105,39 +105,42 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 10, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``next_<column>`` of the document with the next smaller id (after the last: of the
-    first). Null ids come last; repeated ids follow in the order of their text's hash.
+def with_next(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with ``mark``, and ``next_text``, ``next_mark`` of the document with the
+    next smaller id (after the last: of the first). Null ids come last; repeated ids follow in
+    the order of their text's hash.
 
     Ids are cut into runs of 128; inside a run the neighbour is the next row of a window. The
-    last row of a run takes the first row of the next run that has rows: one row per run.
+    last row of a run takes the first row of the next run that has rows: one row per run. Texts
+    are dealt out once: the stated repartition is the same exchange for both uses.
     """
     run = F.coalesce(F.shiftright("doc_id", RUN_BITS), F.lit(-(2**62)))
-    order = Window.partitionBy("_run").orderBy(
-        F.desc_nulls_last("doc_id"), F.xxhash64(columns[0])
-    )
-    both = F.struct(*columns)
-    placed = docs.withColumn("_run", run).withColumns({
-        "_next": F.lead(both).over(order), "_first": F.lag(F.lit(1)).over(order).isNull(),
+    order = Window.partitionBy("_run").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    placed = docs.select("doc_id", "text", run.alias("_run")).repartition("_run")
+    inside = placed.withColumns({
+        "_after": F.lead("text").over(order), "_first": F.lag(F.lit(1)).over(order).isNull(),
     })
-    runs = docs.select(run.alias("_run")).distinct()
-    ranked = global_rank(runs, [F.desc("_run")], name="_rank")
+    marked = with_fingerprint(inside, "text", "mark").withColumn(
+        "_mark_after", F.lead("mark").over(order)
+    )
+    firsts = inside.filter("_first").select(F.col("_run").alias("_at"), F.col("text").alias("_head"))
+    ranked = global_rank(docs.select(run.alias("_run")).distinct(), [F.desc("_run")], name="_rank")
     n = ranked.agg(F.count(F.lit(1))).scalar()
     links = ranked.select(F.col("_run").alias("_from"), ((F.col("_rank") + 1) % n).alias("_to"))
-    firsts = placed.filter("_first").select(F.col("_run").alias("_at"), both.alias("_head"))
-    heads = firsts.join(ranked, F.col("_at") == F.col("_run")).select("_rank", "_head")
-    after = links.join(heads, F.col("_to") == F.col("_rank")).select("_from", "_head")
-    joined = placed.join(after, F.col("_run") == F.col("_from"), "left")
-    following = F.coalesce("_next", "_head")
-    return joined.select(
-        *docs.columns, *[following[c].alias(f"next_{c}") for c in columns]
+    heads = with_fingerprint(firsts, "_head", "_mark_head").join(
+        ranked, F.col("_at") == F.col("_run")
+    ).select("_rank", "_head", "_mark_head")
+    after = links.join(heads, F.col("_to") == F.col("_rank")).select("_from", "_head", "_mark_head")
+    return marked.join(after, F.col("_run") == F.col("_from"), "left").select(
+        "doc_id", "text", "mark", F.coalesce("_after", "_head").alias("next_text"),
+        F.coalesce("_mark_after", "_mark_head").alias("next_mark"),
     )
 
 
 def edit_study(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text, of its half replaced by the next document's, and likeness."""
     base = docs.select("doc_id", filled(F.col("text")).alias("text"))
-    paired = with_next(with_fingerprint(base, "text", "mark"), ["text", "mark"])
+    paired = with_next(base)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.length("text") - half),
