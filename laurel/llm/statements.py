@@ -17,17 +17,19 @@ FROM sized GROUP BY conv_id"""
 
 SUFFIXES = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
-spots AS (SELECT doc_id, hx, unnest(range(1, len(hx) // 2 + 1)) AS s FROM docs),
-windows AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY md5(substr(hx, 2 * s - 1, 100))) AS first
-            FROM spots WHERE s <= len(hx) // 2 - 49),
+pieces AS (SELECT doc_id, len(hx) // 2 AS n, k, substr(hx, 1000 * k + 1, 1098) AS piece
+           FROM (SELECT *, unnest(range(0, len(hx) // 1000 + 1)) AS k FROM docs)),
+spots AS (SELECT doc_id, n, 500 * k + j + 1 AS s, substr(piece, 2 * j + 1, 100) AS ahead
+          FROM (SELECT *, unnest(range(0, 500)) AS j FROM pieces) WHERE 500 * k + j < n),
+windows AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY md5(ahead)) AS first FROM spots WHERE s <= n - 49),
 cover AS (SELECT doc_id, s, max(CASE WHEN first < doc_id THEN s END) OVER (
             PARTITION BY doc_id ORDER BY s RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
           FROM (SELECT doc_id, s, first FROM windows
-                UNION ALL SELECT doc_id, s, NULL FROM spots WHERE s > len(hx) // 2 - 49)),
+                UNION ALL SELECT doc_id, s, NULL FROM spots WHERE s > n - 49)),
 marked AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY s), false) AS opens FROM cover),
 kept AS (SELECT m.doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
-           string_agg(substr(hx, 2 * s - 1, 2), '' ORDER BY s) FILTER (NOT gone) AS left_over
-         FROM marked m JOIN docs d ON d.doc_id = m.doc_id GROUP BY m.doc_id)
+           string_agg(substr(ahead, 1, 2), '' ORDER BY m.s) FILTER (NOT gone) AS left_over
+         FROM marked m JOIN spots p ON p.doc_id = m.doc_id AND p.s = m.s GROUP BY m.doc_id)
 SELECT d.doc_id, CAST(len(hx) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
   coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, ''))) AS kept_sha256
 FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
