@@ -77,11 +77,15 @@ def query_groups(spark, sf):
     return sampling.with_holdout(rows).select("candidate_id", "query_group", "holdout")
 
 
+# Boosting rounds of the registered queries; a build uses model.TREES.
+QUERY_TREES = 10
+
+
 @query("trained_fit")
 def trained_fit(spark, sf):
     """Gradient-boosted trees on the proxy labels, applied to all rows (no SQL check)."""
     labelled = scoring.with_proxy_label(matrix(spark, sf))
-    fitted = model.train_fit(labelled, "proxy_label", iterations=10)
+    fitted = model.train_fit(labelled, "proxy_label", iterations=QUERY_TREES)
     return rounded(scoring.with_fit(labelled, fitted).select(
         "candidate_id", "proxy_label", "ml_fit"
     ))
@@ -91,7 +95,7 @@ def trained_fit(spark, sf):
 def trained_ranker(spark, sf):
     """Trees on the graded tiers of the balanced training rows (no SQL check)."""
     labels = training_rows(spark, sf)
-    fitted = model.train_ranker(matrix(spark, sf), labels, iterations=10)
+    fitted = model.train_ranker(matrix(spark, sf), labels, iterations=QUERY_TREES)
     scored = scoring.with_fit(matrix(spark, sf), fitted)
     joined = scored.join(_labels(spark, sf), "candidate_id")
     return rounded(joined.select("candidate_id", "tier", "ml_fit"))
@@ -135,8 +139,8 @@ _JOBS = f"jobs AS (SELECT r_regionkey::BIGINT AS jd_id, {t._sql_list(t.JOB_TEXTS
 _PROFILE_TEXT = """profile AS (SELECT candidate_id, trim(concat_ws(' ', current_title || ' | profile', summary, current_title, 'Internet',
     (SELECT string_agg(title || ' ' || description, ' ' ORDER BY ln) FROM roles r WHERE r.k = p.k),
     (SELECT string_agg(name, ' ' ORDER BY part, s) FROM skills s WHERE s.k = p.k))) AS text,
-  trim(concat_ws(' ', current_title, current_title || ' | profile', (SELECT arg_min(title || ' ' || description[1:300], ln) FROM roles r WHERE r.k = p.k),
-    (SELECT array_to_string(list(name ORDER BY endorsements DESC, part, s)[1:10], ' ') FROM skills s WHERE s.k = p.k))) AS rerank_text FROM person p)"""
+  trim(concat_ws(' ', current_title, current_title || ' | profile', (SELECT arg_min(title || ' ' || description, ln) FROM roles r WHERE r.k = p.k),
+    (SELECT array_to_string(list(name ORDER BY endorsements DESC, part, s), ' ') FROM skills s WHERE s.k = p.k))) AS rerank_text FROM person p)"""
 
 
 def _cells(table: str, id_col: str) -> str:
@@ -146,10 +150,10 @@ def _cells(table: str, id_col: str) -> str:
 
 
 _RETRIEVAL = f""", {_JOBS}, {_PROFILE_TEXT},
-pdocs AS (SELECT candidate_id, list_slice({TOK}, 1, 200) AS toks FROM profile),
+pdocs AS (SELECT candidate_id, {TOK} AS toks FROM profile),
 pstats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM pdocs),
 ptf AS (SELECT candidate_id, len(toks) AS dl, tok, count(*) AS tf FROM (SELECT candidate_id, toks, unnest(toks) AS tok FROM pdocs) GROUP BY ALL),
-pterms AS (SELECT tok, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM ptf, pstats GROUP BY tok, n HAVING count(*) <= 0.5 * n),
+pterms AS (SELECT tok, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM ptf, pstats GROUP BY tok, n),
 pasked AS (SELECT DISTINCT jd_id, unnest({TOK}) AS tok FROM jobs),
 pbm AS (SELECT jd_id, candidate_id, sum(idf * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM pasked JOIN pterms USING (tok) JOIN ptf USING (tok), pstats GROUP BY ALL),
 pdv AS {_cells('profile', 'candidate_id')}, pqv AS {_cells('jobs', 'jd_id')},

@@ -36,10 +36,10 @@ def token_counts(spark, sf):
 
 # --- BM25 -----------------------------------------------------------------------------
 
-_INDEX = f"""docs AS (SELECT doc_id, list_slice({TOK}, 1, 200) AS toks FROM documents),
+_INDEX = f"""docs AS (SELECT doc_id, {TOK} AS toks FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM docs),
 tf AS (SELECT doc_id, len(toks) AS dl, tok, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS tok FROM docs) GROUP BY ALL),
-terms AS (SELECT tok, count(*) AS df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY tok, n HAVING count(*) <= 0.5 * n)"""
+terms AS (SELECT tok, count(*) AS df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY tok, n)"""
 
 _BM25 = f"""{_INDEX},
 asked AS (SELECT DISTINCT item_id, unnest({TOK}) AS tok FROM benchmark),
@@ -56,8 +56,7 @@ def bm25_index_terms(spark, sf):
 @query("bm25_postings", f"WITH {_INDEX} SELECT tok AS term, count(*) AS docs, sum(tf)::BIGINT AS occurrences, sum(dl)::BIGINT AS doc_lengths FROM tf JOIN terms USING (tok) GROUP BY tok")
 def bm25_postings(spark, sf):
     tokens = retrieval.token_table(t.documents(spark, sf), "doc_id", "text")
-    kept = retrieval.term_stats(tokens).select("term")
-    return retrieval.postings(tokens, "doc_id").join(kept, "term").groupBy("term").agg(
+    return retrieval.postings(tokens, "doc_id").groupBy("term").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"),
         F.sum("doc_len").alias("doc_lengths"),
     )
@@ -79,7 +78,7 @@ def bm25_scores(spark, sf):
 @query("bm25_custom_tokens", f"""WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS toks FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM docs),
 tf AS (SELECT doc_id, len(toks) AS dl, tok, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS tok FROM docs) GROUP BY ALL),
-terms AS (SELECT tok, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY tok, n HAVING count(*) <= 0.3 * n),
+terms AS (SELECT tok, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY tok, n),
 asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM benchmark),
 bm25 AS (SELECT item_id, doc_id, sum(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * dl / avgdl))) AS score
   FROM asked JOIN terms USING (tok) JOIN tf USING (tok), stats GROUP BY ALL)
@@ -89,7 +88,7 @@ def bm25_custom_tokens(spark, sf):
     letters = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
     scores = retrieval.bm25_scores(
         t.documents(spark, sf), _benchmark(spark, sf), "doc_id", "text", "item_id",
-        "question", k1=1.2, b=0.5, max_df_ratio=0.3, max_tokens=None, tok=letters,
+        "question", k1=1.2, b=0.5, tok=letters,
     )
     return scores.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("docs"), F.round(F.max("score"), 6).alias("best"),
@@ -128,11 +127,13 @@ def hashed_vectors_crc32(spark, sf):
     ))
 
 
-@query("cosine_scores", f"WITH {_COSINE} SELECT item_id, doc_id, round(score, 6) + 0.0 AS score FROM cosine")
+@query("cosine_scores", f"""WITH {_COSINE} SELECT item_id, doc_id, round(score, 6) + 0.0 AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e9 + 0.5) DESC, doc_id) AS n FROM cosine) WHERE n <= 100""")
 def cosine_scores(spark, sf):
+    """The hundred nearest documents of each benchmark text."""
     return rounded(retrieval.hashed_cosine(
         t.documents(spark, sf), _benchmark(spark, sf), "doc_id", "text", "item_id",
-        "question", code="md5",
+        "question", code="md5", k=100,
     ))
 
 
@@ -145,7 +146,9 @@ def dense_cosine_top(spark, sf):
     """Nearest fifty given vectors to the first vector of each label."""
     vectors = t.spread(t.load(spark, sf, "embeddings"))
     queries = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    scored = retrieval.dense_cosine(vectors, queries, "vec_id", "embedding", "label", "q")
+    scored = retrieval.dense_cosine(
+        vectors, queries, "vec_id", "embedding", "label", "q", k=60
+    )
     keyed = scored.withColumn("key", F.round("score", 9))
     return rounded(ranking.top_k(
         keyed, 50, [F.col("key").desc(), F.col("vec_id")], "label"
@@ -389,7 +392,7 @@ def _summary_sql(source: str) -> str:
   CASE {cats} ELSE '{vocab.DEFAULT_CATEGORY}' END AS category, {has('low', vocab.ARTIFACT_PRODUCTION_TOKENS)} AS production_signal,
   source_type IN ('pr_review', 'issue_thread') OR {has('low', vocab.COLLABORATION_TOKENS)} AS collaboration_signal,
   sha256(raw) AS content_hash, length(raw)::INTEGER AS raw_chars
-FROM (SELECT *, raw[1:8000] AS head, lower(raw[1:8000]) AS low FROM {source})"""
+FROM (SELECT *, raw AS head, lower(raw) AS low FROM {source})"""
 
 
 def work_items(spark, sf):

@@ -17,7 +17,6 @@ from laurel.functions.text import (
 
 HALF_LIFE_DAYS = 365.0
 NORMALISER = 10.0
-MAX_CHARS = 8000
 SUMMARY_CHARS = 160
 
 
@@ -45,10 +44,9 @@ def with_summary(
     artifacts: DataFrame, raw: str = "raw_content", kind: str = "source_type"
 ) -> DataFrame:
     """Summary line, skills, complexity, category, production and collaboration flags,
-    content hash and length. The rules look at the first 8000 characters, as the summary
-    of an artifact is defined; hash and length cover all of it."""
+    content hash and length. All rules read the whole text; only the summary line is short."""
     c = F.col
-    staged = artifacts.withColumn("_text", F.substring(raw, 1, MAX_CHARS)).withColumn(
+    staged = artifacts.withColumn("_text", F.col(raw)).withColumn(
         "_low", F.lower("_text")
     )
     stripped = F.regexp_replace("_text", r"^\s+|\s+$", "")

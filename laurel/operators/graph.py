@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from laurel import vocab
 from laurel.functions.text import extract_skills, join_nonempty, text_contains_any
 from laurel.operators.ranking import fuse_rankings, top_k
-from laurel.operators.retrieval import check_small, hashed_cosine
+from laurel.operators.retrieval import hashed_cosine
 from laurel.session import cut_lineage
 
 RRF_K = 60
@@ -56,10 +56,9 @@ def find_by_skill(
 ) -> DataFrame:
     """Per skill: the most trusted developers with their three newest artifacts, ``rank``
     from 1. ``skills``: skill_name, and optionally its own ``min_confidence``."""
-    check_small(skills.distinct())
     own = "min_confidence" in skills.columns
     floor = F.col("min_confidence") if own else F.lit(min_confidence)
-    edges = graph.edges.join(F.broadcast(skills.distinct()), "skill_name").filter(
+    edges = graph.edges.join(skills.distinct(), "skill_name").filter(
         F.col("confidence") >= floor
     ).withColumn("confidence", F.round("confidence", 4))
     best = top_k(
@@ -90,11 +89,10 @@ def find_production_debuggers(
 ) -> DataFrame:
     """Per skill: developers with at least two hard pieces of real work, those with most
     first. ``skills``: skill_name, and optionally its own ``min_complexity``."""
-    check_small(skills.distinct())
     own = "min_complexity" in skills.columns
     floor = F.col("min_complexity") if own else F.lit(min_complexity)
     hard = work(graph).filter(F.col("source_type").isin(*vocab.WORK_SOURCES)).join(
-        F.broadcast(skills.distinct()), "skill_name"
+        skills.distinct(), "skill_name"
     ).filter(F.col("complexity") >= floor)
     keys = ["skill_name", "developer_id"]
     counted = hard.groupBy(*keys).agg(F.count(F.lit(1)).alias("evidence_count")).filter(
@@ -237,7 +235,7 @@ def evidence_hits(
     asked = queries.filter(F.trim(text) != "")
     scored = hashed_cosine(
         docs, asked, "artifact_id", "_doc", "query_id", text, code=code,
-        keep=("developer_id",),
+        keep=("developer_id",), k=k,
     )
     keyed = scored.withColumn("score", F.round("score", 9))
     return top_k(keyed, k, [F.col("score").desc(), F.col("artifact_id")], "query_id", "at")

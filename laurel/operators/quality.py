@@ -198,13 +198,13 @@ def validate_ranked(ranked: DataFrame, expected_rows: int = 100) -> DataFrame:
         "score": c("score_text").try_cast("double"),
     })
     well_formed = c("id").rlike(ID_PATTERN)
-    in_range = c("rank").between(1, 100)
+    in_range = c("rank").between(1, expected_rows)
     no_id = F.coalesce(c("id") == "", F.lit(True))
 
     size = ranked.agg(F.count(F.lit(1)).alias("n")).filter(c("n") != expected_rows)
     repeated_id = text.filter(well_formed).groupBy("id").count().filter("count > 1")
     repeated_rank = text.filter(in_range).groupBy("rank").count().filter("count > 1")
-    wanted = ranked.sparkSession.range(1, 101).select(c("id").alias("rank"))
+    wanted = ranked.sparkSession.range(1, expected_rows + 1).select(c("id").alias("rank"))
     order = Window.partitionBy(F.lit(0)).orderBy("rank", "id")
     pairs = text.filter(c("rank").isNotNull() & c("score").isNotNull() & ~no_id).select(
         "rank", "score", "id",
@@ -234,7 +234,8 @@ def validate_header(lines: DataFrame) -> DataFrame:
     """Checks a CSV scanned as text with its first line flagged: ``value``, ``is_header``.
     Every line needs four fields and the header must be exact."""
     fields = F.from_csv(
-        F.col("value"), F.lit("a string, b string, c string, d string, e string")
+        F.col("value"), F.lit("a string, b string, c string, d string, e string"),
+        {"escape": '"'},
     )
     parsed = lines.filter(F.trim("value") != "").withColumn("f", fields)
     bad_header = parsed.filter(

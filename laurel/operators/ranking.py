@@ -15,10 +15,6 @@ from laurel.session import cut_lineage
 SCORE_UNITS = 1e9
 
 
-# Offsets beyond this many rows (very many groups) are joined instead of replicated.
-MAX_REPLICATED_OFFSETS = 200_000
-
-
 def score_key(score: Column) -> Column:
     return F.floor(score * F.lit(SCORE_UNITS) + F.lit(0.5))
 
@@ -32,9 +28,7 @@ def global_rank(
     rows are range-partitioned on (group, order), which splits even a run of equal scores
     because the order ends in the id; the sorted rows are checkpointed so that their
     partition and position stay fixed; then one small table with the row count of each
-    (partition, group) gives the offsets. Without groups, or with a few, it has about one
-    row per partition and is replicated; with very many groups it is joined on (partition,
-    group), which no hot group can skew.
+    (partition, group) gives the offsets, joined on both, which no hot group can skew.
     """
     keys = [F.col(group)] if group else []
     placed = cut_lineage(
@@ -50,9 +44,6 @@ def global_rank(
         "_part", *keys, "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
-    bound = MAX_REPLICATED_OFFSETS
-    if group is None or cells.limit(bound + 1).count() <= bound:
-        offsets = F.broadcast(offsets)
     return (
         placed.join(offsets, ["_part", *([group] if group else [])])
         .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
@@ -72,12 +63,16 @@ def rank_positions(
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
-    """(probability, value) with linear interpolation between neighbours.
+    """(probability, value) with linear interpolation between neighbours; nulls do not count.
 
     The order statistics are picked from the distributed rank: at most two rows per
     probability reach the last step.
     """
-    ranked = global_rank(df.select(column), [F.col(column)])
+    known = df.select(column).filter(F.col(column).isNotNull())
+    # equal values are split over partitions by a number of their own
+    ranked = global_rank(
+        known.withColumn("_tie", F.monotonically_increasing_id()), [F.col(column), F.col("_tie")]
+    )
     n = ranked.agg(F.count(F.lit(1)).alias("n"))
     wanted = n.select(
         "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
@@ -112,7 +107,7 @@ def minmax(
         ).drop("_b")
     bounds = df.groupBy(group).agg(lo, hi)
     return (
-        df.join(F.broadcast(bounds), group)
+        df.join(bounds, group)
         .withColumn(name or column, scaled(F.col(column), F.col("_lo"), F.col("_hi"), eps))
         .drop("_lo", "_hi")
     )

@@ -22,7 +22,6 @@ CRITERIA = {
 DRAW_PRIOR = 0.02
 MAX_ROUNDS = 200
 TOLERANCE = 1e-10
-MAX_HEAD = 2_000
 
 
 def win_totals(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -68,8 +67,6 @@ def run_tournament(
     weights = weights / weights.sum()
 
     def play(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MAX_HEAD:
-            raise ValueError(f"a tournament head has at most {MAX_HEAD} rows")
         score = np.zeros(len(rows))
         if len(rows) > 1:
             p = strengths(win_totals(rows[columns].to_numpy(dtype=float), weights))

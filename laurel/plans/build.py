@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from laurel.operators import explain, scoring
 from laurel.operators.features import DEFAULT_AS_OF, feature_matrix
 from laurel.operators.quality import apply_gates
-from laurel.operators.retrieval import check_small, lexical_scores, retrieval_scores
+from laurel.operators.retrieval import lexical_scores, retrieval_scores
 from laurel.operators.tournament import run_tournament
 from laurel.session import cut_lineage, materialise
 from laurel.sources.candidates import corpus_text, rerank_text
@@ -51,7 +51,6 @@ def per_job(matrix: DataFrame, jobs: DataFrame, retrieval: DataFrame,
     The scores of a candidate are folded into one small map (a job has one entry), so the
     matrix is joined once instead of once per job.
     """
-    check_small(jobs)
     matrix = matrix.select(*[name for name in SCORING if name in matrix.columns])
     scores = retrieval.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("jd_id", "retrieval_score"))).alias("_m")
@@ -79,7 +78,7 @@ def head_scores(
     """
     head = cut_lineage(scoring.provisional_head(scored, rerank_k, group="jd_id"))
     texts = matrix.select("candidate_id", "rerank_text").join(
-        F.broadcast(head.select("candidate_id", "jd_id")), "candidate_id"
+        head.select("candidate_id", "jd_id"), "candidate_id"
     )
     rerank = cut_lineage(
         lexical_scores(texts, jobs, "candidate_id", "rerank_text", "jd_id", "text")
@@ -94,10 +93,9 @@ def head_scores(
 
 
 def with_head_scores(scored: DataFrame, heads: DataFrame) -> DataFrame:
-    """Head scores back on all rows, 0 outside the head. A job has a few hundred head
-    rows, and the number of jobs was checked, so the small side is replicated."""
+    """Head scores back on all rows, 0 outside the head."""
     zero = lambda n: F.coalesce(n, F.lit(0.0))
-    return scored.join(F.broadcast(heads), ["jd_id", "candidate_id"], "left").withColumns({
+    return scored.join(heads, ["jd_id", "candidate_id"], "left").withColumns({
         "rerank_score": zero("rerank_score"), "tournament_score": zero("tournament_score"),
     })
 
@@ -135,13 +133,12 @@ def build_scored(
 
 
 def explained_top(scored: Scored, k: int = 100) -> DataFrame:
-    """The first ``k`` of every job with matrix columns and reasoning. The winners, k rows
-    per job, are replicated to pick their rows out of the matrix."""
+    """The first ``k`` of every job with matrix columns and reasoning."""
     best = explain.rank_candidates(scored.scores, k, "jd_id").select(
         "jd_id", "candidate_id", "rank", "final_score"
     )
     shown = scored.matrix.drop("corpus_text", "rerank_text").join(
-        F.broadcast(best), "candidate_id"
+        best, "candidate_id"
     )
     return explain.with_reasoning(shown, "jd_id")
 

@@ -8,50 +8,85 @@ from pyspark.sql import types as T
 
 from laurel.functions.text import join_nonempty
 
-_TYPES = {
-    "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
-    "scores": T.MapType(T.StringType(), T.DoubleType()),
-    "range": T.StructType().add("min", T.DoubleType()).add("max", T.DoubleType()),
-}
-
-
-def _struct(**names: str) -> T.StructType:
-    """Struct type from ``type="field field ..."`` groups."""
-    out = T.StructType()
-    for kind, fields in names.items():
-        for name in fields.split():
-            out = out.add(name, _TYPES[kind.rstrip("_")])
-    return out
-
-
-ROLE = _struct(
-    string="company title start_date end_date", double="duration_months",
-    boolean="is_current", string_="industry company_size description",
-)
-SKILL = _struct(string="name proficiency", double="endorsements duration_months")
-PROFILE = _struct(
-    string="anonymized_name headline summary location country",
-    double="years_of_experience",
-    string_="current_title current_company current_company_size current_industry",
-)
-SIGNALS = _struct(
-    string="signup_date last_active_date preferred_work_mode",
-    boolean="open_to_work_flag willing_to_relocate verified_email verified_phone "
-    "linkedin_connected",
-    double="profile_completeness_score profile_views_received_30d "
-    "applications_submitted_30d recruiter_response_rate avg_response_time_hours "
-    "connection_count endorsements_received notice_period_days github_activity_score "
-    "search_appearance_30d saved_by_recruiters_30d interview_completion_rate "
-    "offer_acceptance_rate",
-    scores="skill_assessment_scores",
-    range="expected_salary_range_inr_lpa",
-)
-EDUCATION = _struct(
-    string="institution degree field_of_study", double="start_year end_year",
-    string_="grade tier",
-)
-CERTIFICATION = _struct(string="name issuer", double="year")
-LANGUAGE = _struct(string="language proficiency")
+TEXT, NUMBER, FLAG = T.StringType(), T.DoubleType(), T.BooleanType()
+
+# Field names of the profile format, in its order.
+PROFILE = T.StructType([
+    T.StructField("anonymized_name", TEXT),
+    T.StructField("headline", TEXT),
+    T.StructField("summary", TEXT),
+    T.StructField("location", TEXT),
+    T.StructField("country", TEXT),
+    T.StructField("years_of_experience", NUMBER),
+    T.StructField("current_title", TEXT),
+    T.StructField("current_company", TEXT),
+    T.StructField("current_company_size", TEXT),
+    T.StructField("current_industry", TEXT),
+])
+ROLE = T.StructType([
+    T.StructField("company", TEXT),
+    T.StructField("title", TEXT),
+    T.StructField("start_date", TEXT),
+    T.StructField("end_date", TEXT),
+    T.StructField("duration_months", NUMBER),
+    T.StructField("is_current", FLAG),
+    T.StructField("industry", TEXT),
+    T.StructField("company_size", TEXT),
+    T.StructField("description", TEXT),
+])
+EDUCATION = T.StructType([
+    T.StructField("institution", TEXT),
+    T.StructField("degree", TEXT),
+    T.StructField("field_of_study", TEXT),
+    T.StructField("start_year", NUMBER),
+    T.StructField("end_year", NUMBER),
+    T.StructField("grade", TEXT),
+    T.StructField("tier", TEXT),
+])
+SKILL = T.StructType([
+    T.StructField("name", TEXT),
+    T.StructField("proficiency", TEXT),
+    T.StructField("endorsements", NUMBER),
+    T.StructField("duration_months", NUMBER),
+])
+CERTIFICATION = T.StructType([
+    T.StructField("name", TEXT),
+    T.StructField("issuer", TEXT),
+    T.StructField("year", NUMBER),
+])
+LANGUAGE = T.StructType([
+    T.StructField("language", TEXT),
+    T.StructField("proficiency", TEXT),
+])
+SALARY = T.StructType([
+    T.StructField("min", NUMBER),
+    T.StructField("max", NUMBER),
+])
+SIGNALS = T.StructType([
+    T.StructField("profile_completeness_score", NUMBER),
+    T.StructField("signup_date", TEXT),
+    T.StructField("last_active_date", TEXT),
+    T.StructField("open_to_work_flag", FLAG),
+    T.StructField("profile_views_received_30d", NUMBER),
+    T.StructField("applications_submitted_30d", NUMBER),
+    T.StructField("recruiter_response_rate", NUMBER),
+    T.StructField("avg_response_time_hours", NUMBER),
+    T.StructField("skill_assessment_scores", T.MapType(TEXT, NUMBER)),
+    T.StructField("connection_count", NUMBER),
+    T.StructField("endorsements_received", NUMBER),
+    T.StructField("notice_period_days", NUMBER),
+    T.StructField("expected_salary_range_inr_lpa", SALARY),
+    T.StructField("preferred_work_mode", TEXT),
+    T.StructField("willing_to_relocate", FLAG),
+    T.StructField("github_activity_score", NUMBER),
+    T.StructField("search_appearance_30d", NUMBER),
+    T.StructField("saved_by_recruiters_30d", NUMBER),
+    T.StructField("interview_completion_rate", NUMBER),
+    T.StructField("offer_acceptance_rate", NUMBER),
+    T.StructField("verified_email", FLAG),
+    T.StructField("verified_phone", FLAG),
+    T.StructField("linkedin_connected", FLAG),
+])
 
 CORRUPT = "_corrupt"
 
@@ -170,9 +205,9 @@ def corpus_text() -> Column:
     return join_nonempty(profile, [role_lines, names])
 
 
-def rerank_text(description_chars: int = 300, top_skills: int = 10) -> Column:
-    """The short document for the head: title, headline, first listed role, and the
-    skills with most endorsements (profile order on ties)."""
+def rerank_text() -> Column:
+    """The document for the head: title, headline, first listed role, and the skills, most
+    endorsements first (profile order on ties)."""
     first = F.get(roles_of(), F.lit(0))
     keyed = F.transform(
         skills_of(),
@@ -181,11 +216,11 @@ def rerank_text(description_chars: int = 300, top_skills: int = 10) -> Column:
             F.coalesce(s["name"], F.lit("")).alias("name"),
         ),
     )
-    best = F.transform(F.slice(F.array_sort(keyed), 1, top_skills), lambda x: x["name"])
+    best = F.transform(F.array_sort(keyed), lambda x: x["name"])
     return join_nonempty([
         F.col("profile.current_title"),
         F.col("profile.headline"),
         first["title"],
-        F.substring(first["description"], 1, description_chars),
+        first["description"],
         F.array_join(best, " "),
     ])

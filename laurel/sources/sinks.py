@@ -66,7 +66,7 @@ def write_registry(gated: DataFrame, path: str) -> bool:
     rows = rejections(gated)
     if rows.isEmpty():
         return False
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").options(header=True, escape='"').csv(path)
     return True
 
 
@@ -74,27 +74,29 @@ def write_ranked_csv(output: DataFrame, path: str) -> None:
     """One ranked list, at most a few hundred rows, as one CSV file in rank order."""
     (
         output_text(output.orderBy("rank")).coalesce(1)
-        .write.mode("overwrite").option("header", True).csv(path)
+        .write.mode("overwrite").options(header=True, escape='"').csv(path)
     )
 
 
 def read_ranked_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, the way a checker sees them."""
-    return spark.read.option("header", True).csv(path)
+    return spark.read.options(header=True, escape='"', multiLine=True).csv(path)
 
 
-def check_ranked_csv(spark: SparkSession, path: str) -> DataFrame:
+def check_ranked_csv(spark: SparkSession, path: str, expected_rows: int = 100) -> DataFrame:
     """Rule violations of a written list: header and field count, then the rows."""
     lines = spark.read.text(path, wholetext=True).select(
         F.posexplode(F.split("value", "\r?\n")).alias("at", "value")
     ).select("value", (F.col("at") == 0).alias("is_header"))
-    return validate_header(lines).unionByName(validate_ranked(read_ranked_csv(spark, path)))
+    return validate_header(lines).unionByName(validate_ranked(
+        read_ranked_csv(spark, path), expected_rows
+    ))
 
 
-def write_and_check(output: DataFrame, path: str) -> None:
+def write_and_check(output: DataFrame, path: str, expected_rows: int = 100) -> None:
     """Write, read back, and refuse an invalid list."""
     write_ranked_csv(output, path)
-    errors = check_ranked_csv(output.sparkSession, path).limit(20).collect()
+    errors = check_ranked_csv(output.sparkSession, path, expected_rows).limit(20).collect()
     if errors:
         raise ContractError("; ".join(f"{e['rule']}: {e['detail']}" for e in errors))
 
@@ -144,13 +146,21 @@ def is_fresh(spark: SparkSession, manifest_path: str, key: str) -> bool:
 def write_results(
     root: str, job: DataFrame, output: DataFrame, group: str = "jd_id"
 ) -> None:
-    """Append the job row, its ranked rows and an audit row."""
-    job.write.mode("append").parquet(f"{root}/job_runs")
-    output.write.mode("append").partitionBy(group).parquet(f"{root}/ranking_results")
-    job.select(
+    """Store the job row, its ranked rows and an audit row. Everything lies in folders by job
+    or list, and writing one again replaces it."""
+    def store(rows: DataFrame, key: str, name: str) -> None:
+        (
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(key).parquet(f"{root}/{name}")
+        )
+
+    store(job, "job_id", "job_runs")
+    store(output, group, "ranking_results")
+    audit = job.select(
         F.lit("job.completed").alias("action"), F.col("job_id").alias("target"),
         F.col("finished_at").alias("created_at"),
-    ).write.mode("append").parquet(f"{root}/audit_log")
+    )
+    store(audit, "target", "audit_log")
 
 
 def job_results(spark: SparkSession, root: str, job: int | str, group: str = "jd_id"

@@ -43,22 +43,23 @@ def test_contract_has_forty_numbers(rows):
 def test_sound_profile(rows):
     r = rows[1]
     assert r["gate_passed"] and r["honeypot_reasons"] == [] and r["soft_flags"] == []
-    assert r["retrieval_skill_count"] == 2 and r["jd_skill_match_count"] == 3
-    trust = (0.8 * math.log1p(20) * math.sqrt(3) + math.log1p(30) * math.sqrt(2.5)
-             + math.log1p(40) * math.sqrt(6))
+    assert r["retrieval_skill_count"] == 1 and r["jd_skill_match_count"] == 3
+    trust = (math.log1p(17) * math.sqrt(50 / 12) + 0.8 * math.log1p(9) * math.sqrt(44 / 12)
+             + 0.8 * math.log1p(26) * math.sqrt(61 / 12))
     assert r["skill_trust_score"] == pytest.approx(trust)
-    assert r["assessment_mean_score"] == 80.0 and r["top_assessment_score"] == 82.0
-    assert r["recency_score"] == pytest.approx(math.exp(-9 / 90))
+    assert r["assessment_mean_score"] == 78.5 and r["top_assessment_score"] == 91.0
+    assert r["recency_score"] == pytest.approx(math.exp(-20 / 90))
     assert r["location_fit"] == 1.0
-    assert r["top_jd_skills"] == ["Python", "Embeddings", "Vector Search"]
-    assert r["top_retrieval_skills"] == ["Vector Search", "Embeddings"]
+    assert r["top_jd_skills"] == ["NLP", "BM25", "PyTorch"]
+    assert r["top_retrieval_skills"] == ["BM25"]
 
 
 def test_jd_fit_formula(rows):
     r = rows[1]
-    base = (0.30 * 2 / 3 + 0.15 * 0.5 + 0.12 * math.tanh(r["skill_trust_score"] / 4)
-            + 0.12 * 0.8 + 0.10 + 0.08 + 0.08 * 0.5)
-    assert r["jd_fit_score"] == pytest.approx(base)
+    base = (0.30 * 1 / 3 + 0.15 * 0.5 + 0.12 * math.tanh(r["skill_trust_score"] / 4)
+            + 0.12 * 0.785 + 0.10 + 0.08 + 0.08 * 0.5)
+    # a technical title outside the AI list counts 0.55
+    assert r["jd_fit_score"] == pytest.approx(base * (0.4 + 0.6 * 0.55))
     assert r["jd_fit_score"] > rows[2]["jd_fit_score"]
 
 
@@ -69,7 +70,7 @@ def test_keyword_stuffer(rows):
 
 @pytest.mark.parametrize(("number", "reason"), [
     (3, "expert_zero_duration:4_skills"),
-    (4, "implausible_tenure:TinyCo:132mo"),
+    (4, "implausible_tenure:Attic Works:141mo"),
     (6, "duration_exceeds_calendar:Zeta:60>12mo"),
     (7, "yoe_exceeds_career_history:25.0>2.0yr"),
     (14, "impossible_application_volume:60"),
@@ -141,8 +142,8 @@ def test_title_rules(spark):
 def test_live_evidence(spark, candidates_of):
     matrix = features.feature_matrix(candidates_of(profile(1), profile(2)))
     records = spark.createDataFrame(
-        [("CAND_0000001", "python", 0.9), ("CAND_0000001", "Embeddings", 0.5),
-         ("CAND_0000002", "python", 0.1)],
+        [("CAND_0000001", "pytorch", 0.9), ("CAND_0000001", "BM25", 0.5),
+         ("CAND_0000002", "pytorch", 0.1)],
         "candidate_id string, skill_name string, confidence double",
     )
     out = {r["candidate_id"]: r for r in features.apply_live_evidence(matrix, records).collect()}

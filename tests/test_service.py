@@ -163,13 +163,13 @@ def test_json_lines(spark, tmp_path):
     assert candidates.malformed_lines(spark, str(path)).first()[0] == "{broken"
     (tmp_path / "o.jsonl").write_text(other)
     row = candidates.read_candidates(spark, str(tmp_path / "o.jsonl"), "my_signals").first()
-    assert row["signals"]["notice_period_days"] == 30.0
+    assert row["signals"]["notice_period_days"] == 45.0
 
 
 def test_rerank_text_of_a_sparse_profile(candidates_of):
     bare = {**profile(3, roles=[], skills=[]), "career_history": None, "skills": None}
     got = candidates_of(bare).select(candidates.rerank_text().alias("t"), candidates.corpus_text().alias("c")).first()
-    assert got["t"].startswith("Machine Learning Engineer") and "Works on ranking." in got["c"]
+    assert got["t"].startswith("Search Engineer") and "Builds search." in got["c"]
 
 
 def test_freshness_and_contract(spark, tmp_path):
