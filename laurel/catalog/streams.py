@@ -14,7 +14,8 @@ from laurel.streaming import rules, sinks
 
 def _events(spark, sf):
     schema = t.load(spark, sf, "events").schema
-    stream = sinks.files(spark, sf, schema, "events.parquet")
+    # a pattern, which may name one file or a folder of part files
+    stream = sinks.files(spark, f"{sf}/{{events.parquet}}", schema)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -47,13 +48,34 @@ def stream_dead_letters(spark, sf):
     return sinks.latest_updates(_run(spark, stream, "dead", "update"), ["user_id"])
 
 
-@query("stream_current_status", "SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")
+@query("stream_current_status", "SELECT user_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS event_type FROM events GROUP BY user_id")
 def stream_current_status(spark, sf):
-    stream = rules.current_status(_events(spark, sf), "user_id", "event_type", "ts")
+    stream = rules.current_status(
+        _events(spark, sf), "user_id", "event_type", "ts", "event_id"
+    )
     out = sinks.latest_updates(_run(spark, stream, "status", "update"), ["user_id"])
     return out.select("user_id", "event_type")
 
 
+@query("stream_first_terminal", "SELECT count(DISTINCT user_id) AS jobs FROM events WHERE event_type IN ('purchase', 'error')")
+def stream_first_terminal(spark, sf):
+    """A purchase or an error ends a user's job: how many jobs have ended."""
+    ended = _events(spark, sf).filter("event_type IN ('purchase', 'error')")
+    out = _run(spark, rules.first_terminal(ended, "user_id", "ts"), "terminal")
+    return out.agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query("stream_dead_letter_sinks", """SELECT outcome, count(*) AS users FROM (
+  SELECT user_id, unnest(CASE WHEN count(*) >= 15 THEN ['dead_letter'] ELSE ['retry'] END) AS outcome FROM events WHERE event_type = 'error' GROUP BY user_id) GROUP BY outcome""")
+def stream_dead_letter_sinks(spark, sf):
+    """Retries and dead letters in a table each; the last state of every user counts."""
+    path = scratch_path(spark, "sinks")
+    counts = rules.failure_counts(_events(spark, sf).filter("event_type = 'error'"), "user_id", 15)
+    sinks.split_batches(counts, "outcome", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    last = sinks.latest_updates(spark.read.parquet(f"{path}/out"), ["user_id"])
+    return last.groupBy("outcome").agg(F.count(F.lit(1)).alias("users"))
+
+
 _FIRST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY artifact_id) AS n FROM {WORK_SQL}) WHERE n = 1)"
 
 

@@ -113,10 +113,16 @@ def scan_candidates(
     ``signals`` here. Lines are parsed by ``from_json``, so that a count of the malformed
     ones needs no cache.
     """
+    return parse_lines(spark.read.text(path), signals_field)
+
+
+def parse_lines(lines: DataFrame, signals_field: str = "signals") -> DataFrame:
+    """The one parsing rule of batch scans and streams."""
     schema = candidate_schema(signals_field).add(CORRUPT, T.StringType())
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", schema, options).alias("c")).select("c.*")
+    parsed = lines.filter(F.trim("value") != "").select(
+        F.from_json("value", schema, options).alias("c")
+    ).select("c.*")
     return parsed.withColumnRenamed(signals_field, "signals")
 
 
@@ -155,15 +161,10 @@ def count_lines(spark: SparkSession, path: str) -> int:
 def stream_candidates(
     spark: SparkSession, folder: str, files_per_batch: int = 1, signals_field: str = "signals"
 ) -> DataFrame:
-    """Bounded batches: a file stream with a limit on the files per micro-batch."""
-    df = (
-        spark.readStream.schema(candidate_schema(signals_field))
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(folder)
-    )
-    return df.filter(F.col("candidate_id").isNotNull()).withColumnRenamed(
-        signals_field, "signals"
-    )
+    """Bounded batches of the well-formed candidates, by the rule of the batch scan."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    parsed = parse_lines(lines, signals_field)
+    return parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def first_rows(df: DataFrame, n: int, order: str = "candidate_id") -> DataFrame:

@@ -57,12 +57,15 @@ def first_sightings(
 
 def quota_windows(
     requests: DataFrame, identity: str, ts: str, per_minute: int = 120,
-    lateness: str = "1 minute",
+    lateness: str | None = None,
 ) -> DataFrame:
-    """Requests, grants and refusals per identity and minute, as they change."""
+    """Requests, grants and refusals per identity and minute, as they change.
+
+    Every request counts, however late; a ``lateness`` forgets older minutes and with them
+    the requests that come after."""
     n = F.count(F.lit(1))
     return (
-        requests.withWatermark(ts, lateness)
+        (requests.withWatermark(ts, lateness) if lateness else requests)
         .groupBy(F.window(ts, "1 minute"), identity)
         .agg(n.alias("requests"))
         .select(
@@ -86,13 +89,19 @@ def failure_counts(failures: DataFrame, key: str, max_attempts: int = MAX_ATTEMP
     )
 
 
-def first_terminal(events: DataFrame, job: str, ts: str, lateness: str = "1 day") -> DataFrame:
-    """Terminal events with repeats of a job dropped."""
+def first_terminal(events: DataFrame, job: str, ts: str, lateness: str | None = None) -> DataFrame:
+    """Terminal events with repeats of a job dropped: a finished job stays finished. With a
+    ``lateness`` a job is forgotten after that time."""
+    if lateness is None:
+        return events.dropDuplicates([job])
     return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([job])
 
 
-def current_status(events: DataFrame, job: str, status: str, ts: str) -> DataFrame:
-    """Last status per job (update mode)."""
+def current_status(
+    events: DataFrame, job: str, status: str, ts: str, id_col: str | None = None
+) -> DataFrame:
+    """Last status per job (update mode); equal times are decided by the id, else the status."""
     return events.groupBy(job).agg(
-        F.max_by(status, ts).alias(status), F.max(ts).alias("as_of")
+        F.max_by(status, F.struct(ts, id_col or status)).alias(status),
+        F.max(ts).alias("as_of"),
     )

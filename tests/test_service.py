@@ -123,6 +123,22 @@ def test_stream_quota_and_repeats(spark, folder, messages):
     assert spark.read.parquet(str(folder / "b")).count() == 3
 
 
+def test_streams_keep_late_rows(spark, folder, messages):
+    """Files in the wrong order: nothing is dropped."""
+    schema = "id long, key string, ts timestamp"
+    ordered = sorted(messages, key=lambda r: r[2], reverse=True)
+    for i in range(4):
+        spark.createDataFrame(ordered[i::4][: len(ordered)], schema).coalesce(1).write.mode(
+            "append").parquet(str(folder / "mixed"))
+    counts = rules.quota_windows(streams.files(spark, str(folder / "mixed"), schema), "key", "ts", 3)
+    streams.write_batches(counts, str(folder / "lq"), str(folder / "lqcp"), "update").awaitTermination()
+    rows = streams.latest_updates(spark.read.parquet(str(folder / "lq")), ["key", "minute"])
+    assert sum(r["requests"] for r in rows.collect()) == len(messages)
+    ended = rules.first_terminal(streams.files(spark, str(folder / "mixed"), schema), "key", "ts")
+    streams.write_batches(ended, str(folder / "ft"), str(folder / "ftcp")).awaitTermination()
+    assert spark.read.parquet(str(folder / "ft")).count() == len({m[1] for m in messages})
+
+
 def test_stream_dead_letters(spark, folder):
     source = streams.files(spark, str(folder / "in"), "id long, key string, ts timestamp")
     streams.split_batches(rules.failure_counts(source, "key", 200), "outcome",
@@ -195,3 +211,19 @@ def test_job_spec_round_trip(spark, tmp_path):
     assert row["source"] == "fallback" and row["latent_requirements"] == []
     assert jobspec.requirements(parsed, "jd_id").count() == 2
     assert jobspec.spec_gates(parsed, "jd_id").first()["feature_key"] == "is_honeypot"
+
+
+def test_event_table_as_a_file_or_a_folder(spark, tmp_path):
+    """The same table as one file and as a folder of parts."""
+    from laurel.catalog import streams as registered
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 3), i % 7, "error", 1.0, "{}") for i in range(200)]
+    kind = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    table = spark.createDataFrame(rows, kind)
+    (tmp_path / "folder").mkdir()
+    table.repartition(3).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    (tmp_path / "file").mkdir()
+    table.toPandas().to_parquet(tmp_path / "file" / "events.parquet", coerce_timestamps="us")
+    counts = [sorted(map(tuple, registered.stream_dead_letters(spark, str(tmp_path / k)).collect()))
+              for k in ("folder", "file")]
+    assert counts[0] == counts[1] and sum(r[1] for r in counts[0]) == 200
