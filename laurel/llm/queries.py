@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.llm import (
@@ -101,8 +101,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
     certain = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint")
-              .alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter(certain, lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(pii.span_list(certain), 256).alias("base_sha256"),
         pii.span_list(F.col("spans")).alias("spans"),

@@ -56,6 +56,23 @@ def test_base_spans(spark, documents, corpus):
         assert [(s.start, s.kind, s.end) for s in r.spans if s.base] == base(text[r.doc_id]), r.doc_id
 
 
+def test_query_columns(spark, documents, tmp_path):
+    import hashlib
+
+    from laurel.llm.queries import QUERIES
+
+    rows = cases()
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    text = dict(rows)
+    for r in QUERIES["op9_pii_boosted_spans"](spark, str(tmp_path)).collect():
+        want = base(text[r.doc_id])
+        count = [sum(k == kind for _, kind, _ in want) for k in range(4)]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == count
+        listed = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(r.spans.split(",") if r.spans else [])
+
+
 def test_model_adds_what_looks_like_the_real_ones(spark, documents):
     rows = [(i, f"call +1 (50{i % 10}) 555-69{i % 90 + 10} now") for i in range(300)]
     rows += [(900, "call (509) 555-6973 now"), (901, "call +1 (826) 555-4081 190.137.223.204 x"),
