@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 LENGTH, GRAM = 50, 24
 LEFT = LENGTH - GRAM
 #: text of one part, and of what is hashed at a time
-PART_BYTES, CHUNK_BYTES = 16 << 20, 1 << 20
+PART_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 #: documents and anchors of each that splitters are sampled from
 SAMPLE_DOCS, SAMPLE_EACH = 4000, 16
 #: stands for a missing id: after all others
