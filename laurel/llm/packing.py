@@ -63,13 +63,13 @@ class OpenBins:
 
 @functools.cache
 def _encoder(path: str):
-    """An encoder over the merge ranks in the vocabulary file, once per process. It gives the
-    ids that the file's own library gives, at four times the speed."""
+    """An encoder over the merge ranks and added tokens in the vocabulary file, once per process.
+    It gives the ids that the file's own library gives, at four times the speed."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)
-    special = {t["content"] for t in vocabulary["added_tokens"]}
+    special = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
     # the printable stand-ins of bytes in a byte-level vocabulary: shifted up where a byte is
     # no printable Latin character
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -77,12 +77,16 @@ def _encoder(path: str):
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
     ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items()
              if token not in special}
-    return tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks,
+                             special_tokens=special)
 
 
-def encode(text: str | None, path: str) -> np.ndarray:
-    """Ids of a text and the separator. Control strings in a text are ordinary text."""
-    ids = _encoder(path).encode_to_numpy(text or "", disallowed_special=())
+def encode(text: str | None, path: str, added: bool = False) -> np.ndarray:
+    """Ids of a text and the separator. With ``added`` the vocabulary's added tokens in a text
+    get their own ids, as the library gives them; else they are ordinary text."""
+    ids = _encoder(path).encode_to_numpy(
+        text or "", allowed_special="all" if added else set(), disallowed_special=()
+    )
     return np.append(ids, SEPARATOR).astype("<u4")
 
 
@@ -97,8 +101,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: i
     """(doc_id, text) to one row per piece:
 
     ``keep`` columns, piece, start, length, ids (little-endian 4-byte ids), sequence_id, offset.
-    Null text is the empty text: its separator alone. Repeated rows are packed one by one; an
-    empty table gives an empty result. Sequence ids are unique: partition number, then a count.
+    The vocabulary's added tokens in a text get their own ids. Null text is the empty text: its
+    separator alone. Repeated rows are packed one by one; an empty table gives an empty result. Sequence ids are unique: partition number, then a count.
     ``tokenizer`` is the vocabulary's path on every machine.
     """
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -112,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: i
             for low, high in _slices(texts):
                 items = []
                 for row in range(low, high):
-                    ids = encode(texts[row].as_py(), tokenizer)
+                    ids = encode(texts[row].as_py(), tokenizer, added=True)
                     for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                         items.append((row, piece, start, length, ids[start:start + length].tobytes()))
                 items.sort(key=lambda x: -x[3])

@@ -91,3 +91,31 @@ def test_edges(spark, documents):
     extra = documents([(1, None), (1, None), (None, "a")]).selectExpr("*", "1 AS piece", "2 AS ids")
     rows = packing.pack(extra, PATH).collect()
     assert sorted(r.length for r in rows) == [1, 1, 2]
+
+
+#: the library as it loads
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+def test_added_tokens_get_the_ids_of_the_library_as_it_loads(spark, documents):
+    token = "<|endoftext|>"
+    texts = [f"a {token} b", token, f" {token}{token} ", f"x\n\n{token}\n y  {token}z", "<|endoftext|",
+             f"{'word ' * 900}{token} {'word ' * 900}"]
+    for text in texts:
+        want = LIBRARY.encode(text, add_special_tokens=False).ids + [0]
+        assert packing.encode(text, PATH, added=True).tolist() == want
+    found = {}
+    for r in packing.pack(documents(list(enumerate(texts))), PATH, capacity=256).collect():
+        found.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    for i, text in enumerate(texts):
+        got = [x for _, part in sorted(found[i]) for x in part]
+        assert got == LIBRARY.encode(text, add_special_tokens=False).ids + [0]
+    assert found[0] == [(0, [64, 220, 50256, 275, 0])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.just("<|endoftext|>"), st.text(max_size=20)), max_size=8))
+def test_added_tokens_between_any_text(parts):
+    text = "".join(parts)
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert packing.encode(text, PATH, added=True).tolist() == want + [0]
