@@ -30,14 +30,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.select(F.inline(F.when(F.col("kept"), F.array("_row"))))
 
 
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The carried rows with a ``_key`` of id and text, by which rows that share an id, or have
+    none, are told apart."""
+    name = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("none"))
+    key = F.unhex(F.md5(F.concat(name, F.coalesce("text", F.lit("")))))
+    return _carried(docs, "doc_id", "text", *columns).withColumn("_key", key)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates, once."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")
-    ).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near-duplicates: the one with the smallest id, or if none
+    has an id, any one of a fixed order. Different texts under one id, or none, all stay."""
+    rows = _keyed(docs)
+    kept = simhash.first_of_each(rows.select("doc_id", "text", "_key"), "_key")
+    # what is left of a key is one id and text, repeated
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +58,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that repeat an id share its copies."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(
+    """Each document as often as the mix takes it. Rows that repeat id and text share its copies."""
+    rows = _keyed(docs, "source")
+    copies = mixing.mix(rows.drop("_row"), keep=("_key",)).groupBy("_key").agg(
         F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_n")
     ).filter("_n > 0")
-    taken = _carried(docs, "doc_id").join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    taken = rows.join(copies, "_key")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 

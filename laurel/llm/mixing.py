@@ -96,16 +96,18 @@ def class_rates(sized: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFra
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = 8
-        ) -> DataFrame:
-    """(doc_id, source, text) to (doc_id, source, size, source_size, target, copies, taken).
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = 8,
+        keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, text) to (doc_id, source, size, source_size, target, copies, taken) and
+    the ``keep`` columns.
 
     One row per input row. Null source is a source, after all others; null or blank text has
     size 0 and is never taken; repeated rows are drawn one by one, ties of the random number
-    (the same id) go by size. An empty table gives an empty result. Other columns are ignored.
+    (the same id) go by size, then by ``keep``. An empty
+    table gives an empty result. Other columns are ignored.
     """
     sized = cut_lineage(docs.select(
-        "doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size")
+        "doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), *keep
     ).withColumn("_m", importance(F.col("size"))))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut_lineage(source_targets(totals, weights, cap))
@@ -116,24 +118,27 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed:
     )
     p, u = F.col("expected") - F.col("certain"), uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
     odds = (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))
-    ranked = _running(drawn.withColumn("_q", F.when(p > 0, odds)))
+    ranked = _running(drawn.withColumn("_q", F.when(p > 0, odds)), keep)
     extra = F.col("_q").isNotNull() & (2 * F.col("_cum") - F.col("size") <= 2 * F.col("rest"))
     copies = F.coalesce(F.col("certain"), F.lit(0)) + extra.cast("bigint")
-    counted = ranked.select("doc_id", "source", "size", F.coalesce(copies, F.lit(0)).alias("copies"))
+    counted = ranked.select(
+        "doc_id", "source", "size", F.coalesce(copies, F.lit(0)).alias("copies"), *keep
+    )
     named = targets.withColumnRenamed("source", "_s")
     return counted.join(named, F.col("source").eqNullSafe(F.col("_s")), "left").select(
         "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+        (F.col("copies") * F.col("size")).alias("taken"), *keep,
     )
 
 
-def _running(drawn: DataFrame) -> DataFrame:
+def _running(drawn: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Add ``_cum``: words of the source's drawn documents up to and with this one.
 
     Range partitions keep even one source with all rows spread; each adds the words that
     earlier partitions hold of the same source (one small row per partition and source).
     """
-    order = [F.col("source"), F.col("_q").asc_nulls_last(), F.col("doc_id"), F.col("size")]
+    order = [F.col("source"), F.col("_q").asc_nulls_last(), F.col("doc_id"), F.col("size"),
+             *map(F.col, keep)]
     placed = cut_lineage(
         drawn.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_at", 33))

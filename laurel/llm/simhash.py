@@ -53,9 +53,11 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp) with the fingerprint as a signed long; null text is the empty text."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id",
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fp, ``keep``) with the fingerprint as a signed long; null text is the empty text."""
     kind = docs.schema[key].dataType.simpleString()
+    further = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,10 +65,11 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 (simhash(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(marks.view(np.int64))], [key, "fp"]
+                [batch.column(0), pa.array(marks.view(np.int64)), *batch.columns[2:]],
+                [key, "fp", *keep],
             )
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, fp long")
+    return docs.select(key, text, *keep).mapInArrow(run, f"{key} {kind}, fp long{further}")
 
 
 def _remainders(bits: int, generator: int) -> np.ndarray:
@@ -260,6 +263,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _labelled(nodes: DataFrame, threshold: int) -> DataFrame:
+    """(fp, first) with the ``label`` of the fingerprint's component."""
+    labels = components(cut_lineage(links(nodes, threshold)))
+    return nodes.join(labels, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("label", "fp").alias("label")
+    )
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, text) to (doc_id, fp, component_id): the smallest id reachable over links.
 
@@ -271,10 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         raise ValueError("the anchors are laid out for a threshold of three bits")
     marked = cut_lineage(fingerprints(docs))
     nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labelled = components(cut_lineage(links(nodes, threshold)))
-    joined = nodes.join(labelled, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label")
-    )
+    joined = _labelled(nodes, threshold)
     names = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     named = joined.select("fp", F.col("label").alias("_l")).join(
         names, F.col("_l") == F.col("label")
@@ -283,3 +291,17 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return marked.join(named, F.col("fp") == F.col("_fp"), "left").select(
         "doc_id", "fp", "component_id"
     )
+
+
+def first_of_each(docs: DataFrame, key: str, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, text, key) to (key): that of one row per component of near-duplicates, the row
+    with the smallest id, without an id the last, at equal ids the one with the smallest key.
+
+    A component is one of fingerprints: rows of one id, or without an id, that are no near copies
+    of each other stay apart.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))
+    marked = fingerprints(docs, keep=(key,))
+    nodes = cut_lineage(marked.groupBy("fp").agg(F.min(order).alias("first")))
+    firsts = _labelled(nodes, threshold).groupBy("label").agg(F.min("first").alias("first"))
+    return firsts.select(F.col("first.key").alias(key))

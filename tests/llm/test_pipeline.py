@@ -80,3 +80,31 @@ def test_extra_columns_and_empty(spark, folder):
         assert stage(spark, wide, folder).columns == wide.columns, name
         assert stage(spark, docs.limit(0), folder).count() == 0, name
     assert cp.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_repeated_one(spark, documents, folder):
+    text = lambda k: " ".join(f"w{(k * 997 + j * 61) % 5003}" for j in range(70))
+    near = text(1) + "."  # other punctuation at one word: checked to be a near copy below
+    mark = {t: plain_mark(t) for t in [*map(text, range(12)), near]}
+    assert bin(mark[near] ^ mark[text(1)]).count("1") <= 3
+    assert len(set(brute_components(dict(enumerate(mark[text(k)] for k in range(12)))).values())) == 12
+    rows = [(1, text(1)), (None, near), (None, text(2)), (None, text(3)), (None, text(3)),
+            (None, text(4)),              # null ids: a near copy, different texts, a repeated row
+            (5, text(1)), (5, text(5)),   # one id: a near copy of 1 and a clean text
+            (6, text(6)), (6, text(7)), (6, text(6)),
+            (8, text(8)), (9, text(8)), (None, text(8))]
+    want = [(1, text(1)), (None, text(2)), (None, text(3)), (None, text(4)), (5, text(5)),
+            (6, text(6)), (6, text(7)), (8, text(8))]
+    order = lambda pairs: sorted(pairs, key=str)
+    kept = cp.near_dedup(spark, documents(rows), folder)
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order(want)
+    # the mix takes each of them by its own copies
+    from laurel.llm import mixing
+
+    keyed = cp._keyed(kept, "source").drop("_row")
+    named = {r["_key"]: (r.doc_id, r.text) for r in keyed.collect()}
+    copies = mixing.mix(keyed, keep=("_key",)).collect()
+    expected = [named[r["_key"]] for r in copies for _ in range(r.copies)]
+    mixed = cp.mix_sources(spark, kept, folder)
+    assert order((r.doc_id, r.text) for r in mixed.collect()) == order(expected)
+    assert {t for _, t in expected} == {t for _, t in want}
