@@ -27,8 +27,10 @@ def _run(spark, stream, name, mode="append"):
 
 @query("stream_first_sightings", f"{_CHAIN} SELECT node AS event_id, key AS event_type FROM chain JOIN m USING (key, tick)")
 def stream_first_sightings(spark, sf):
-    stream = rules.first_sightings(_events(spark, sf), "event_type", "ts", "event_id", 300)
-    return _run(spark, stream, "sightings").select("event_id", "event_type")
+    path = scratch_path(spark, "sightings")
+    return sinks.first_sightings(
+        _events(spark, sf), "event_type", "ts", "event_id", f"{path}/out", f"{path}/checkpoint", 300
+    ).select("event_id", "event_type")
 
 
 @query("stream_quota_windows", """SELECT event_type, strftime(time_bucket(INTERVAL '1 minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS requests,

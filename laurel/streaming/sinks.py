@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from laurel.operators import evidence
+from laurel.operators import evidence, service
 
 
 def files(spark: SparkSession, folder: str, schema, pattern: str = "*", per_batch: int = 1,
@@ -46,6 +46,21 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return each_batch(stream, save, checkpoint, mode).start()
 
 
+def first_sightings(
+    stream: DataFrame, key: str, ts: str, id_col: str, path: str, checkpoint: str,
+    ttl_seconds: int = 300,
+) -> DataFrame:
+    """Accepted messages (key, ts, id) of a stream run to its end, however late they come.
+
+    A late message can change what is accepted after it, so the micro-batches are stored and
+    the rule is applied to the table, by the batch twin, which splits hot keys."""
+    write_batches(stream.select(key, ts, id_col), path, checkpoint).awaitTermination()
+    stored = stream.sparkSession.read.schema(stream.select(key, ts, id_col).schema).parquet(path)
+    return service.dedup_first_sighting(stored, key, ts, id_col, ttl_seconds).filter(
+        "accepted"
+    ).drop("accepted")
+
+
 def split_batches(stream: DataFrame, outcome: str, root: str, checkpoint: str
                   ) -> StreamingQuery:
     """Micro-batches split by outcome into one table each."""

@@ -227,3 +227,17 @@ def test_event_table_as_a_file_or_a_folder(spark, tmp_path):
     counts = [sorted(map(tuple, registered.stream_dead_letters(spark, str(tmp_path / k)).collect()))
               for k in ("folder", "file")]
     assert counts[0] == counts[1] and sum(r[1] for r in counts[0]) == 200
+
+
+def test_stream_first_sightings_out_of_order(spark, messages, accepted, tmp_path):
+    """The latest messages come in the first file; the registered query reads them all."""
+    from laurel.catalog import all_queries
+
+    ordered = sorted(messages, key=lambda r: (r[2], r[0]), reverse=True)
+    size = -(-len(ordered) // 4)
+    for i in range(4):
+        rows = [(number, key, moment) for number, key, moment in ordered[i * size:(i + 1) * size]]
+        spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp").coalesce(
+            1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    out = all_queries()["stream_first_sightings"](spark, str(tmp_path))
+    assert {r["event_id"] for r in out.collect()} == accepted
