@@ -405,34 +405,50 @@ b AS (SELECT *, row_number() OVER (ORDER BY {_key('sc')} DESC, candidate_id) AS
 w AS (SELECT *, row_number() OVER (ORDER BY {_key('sc')} DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'(0.85::DOUBLE * {_CORE} + 0.15::DOUBLE * llm_fit_score) * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1))"""
 
 
+_AB_JOBS = _FINAL + _AB[len(_FINAL):].replace(" WHERE jd_id = 0)", ")").replace(
+    "OVER (ORDER BY", "OVER (PARTITION BY jd_id ORDER BY").replace(
+    "(SELECT candidate_id, CASE", "(SELECT jd_id, candidate_id, CASE")
+
+
 def _ab(spark, sf):
-    """Job 0 ranked without and with an outside fit score."""
-    base = scored(spark, sf).filter("jd_id = 0")
+    """Every job ranked without and with an outside fit score."""
+    base = scored(spark, sf)
     outside = (F.substring("candidate_id", 6, 7).cast("bigint") * 7919 % 1000) / F.lit(1000.0)
     with_column = base.withColumn("llm_fit_score", outside)
-    lists = [explain.rank_candidates(scoring.with_final_score(df), 100)
+    lists = [explain.rank_candidates(scoring.with_final_score(df), 100, "jd_id")
              for df in (base, with_column)]
-    return [df.select("candidate_id", "rank") for df in lists]
+    return [df.select("jd_id", "candidate_id", "rank") for df in lists]
 
 
 @query("ab_churn", f"""{_AB}
 SELECT (SELECT count(*) FROM b JOIN w USING (rank) WHERE rank <= 20 AND b.candidate_id <> w.candidate_id) AS moved,
   (SELECT count(*) FROM b WHERE rank <= 100 AND candidate_id IN (SELECT candidate_id FROM w WHERE rank <= 100)) AS overlap""")
 def ab_churn(spark, sf):
-    without, with_score = _ab(spark, sf)
+    """Job 0 alone, as the SQL states; ``ab_churn_by_job`` has all jobs."""
+    without, with_score = (df.filter("jd_id = 0").drop("jd_id") for df in _ab(spark, sf))
     return metrics.compare_rankings(without, with_score, "candidate_id")
 
 
+@query("ab_churn_by_job", f"""{_AB_JOBS},
+m AS (SELECT jd_id, count(*) FILTER (b.candidate_id <> w.candidate_id) AS moved FROM b JOIN w USING (jd_id, rank) WHERE rank <= 20 GROUP BY jd_id),
+o AS (SELECT b.jd_id, count(w.candidate_id) AS overlap FROM b LEFT JOIN w ON b.jd_id = w.jd_id AND b.candidate_id = w.candidate_id AND w.rank <= 100 WHERE b.rank <= 100 GROUP BY b.jd_id)
+SELECT jd_id, moved, overlap FROM m JOIN o USING (jd_id)""")
+def ab_churn_by_job(spark, sf):
+    without, with_score = _ab(spark, sf)
+    return metrics.compare_rankings(without, with_score, "candidate_id", group="jd_id")
+
+
 @query("ab_metrics")
 def ab_metrics(spark, sf):
-    """NDCG, MAP and P@10 of both lists against the graded labels (metrics are checked
-    elsewhere)."""
+    """NDCG, MAP and P@10 of both lists of every job against the graded labels (metrics are
+    checked elsewhere)."""
     without, with_score = _ab(spark, sf)
     runs = without.withColumn("run", F.lit("without")).unionByName(
         with_score.withColumn("run", F.lit("with"))
-    )
+    ).withColumn("run", F.struct("jd_id", "run")).drop("jd_id")
     grades = _labels(spark, sf).withColumnRenamed("tier", "grade")
-    return metrics.ranking_metrics(runs, grades)
+    found = metrics.ranking_metrics(runs, grades)
+    return found.select("run.*", *[c for c in found.columns if c != "run"])
 
 
 # --- subsets --------------------------------------------------------------------------
