@@ -77,15 +77,11 @@ def query_groups(spark, sf):
     return sampling.with_holdout(rows).select("candidate_id", "query_group", "holdout")
 
 
-# Boosting rounds of the registered queries; a build uses model.TREES.
-QUERY_TREES = 10
-
-
 @query("trained_fit")
 def trained_fit(spark, sf):
     """Gradient-boosted trees on the proxy labels, applied to all rows (no SQL check)."""
     labelled = scoring.with_proxy_label(matrix(spark, sf))
-    fitted = model.train_fit(labelled, "proxy_label", iterations=QUERY_TREES)
+    fitted = model.train_fit(labelled, "proxy_label")
     return rounded(scoring.with_fit(labelled, fitted).select(
         "candidate_id", "proxy_label", "ml_fit"
     ))
@@ -95,7 +91,7 @@ def trained_fit(spark, sf):
 def trained_ranker(spark, sf):
     """Trees on the graded tiers of the balanced training rows (no SQL check)."""
     labels = training_rows(spark, sf)
-    fitted = model.train_ranker(matrix(spark, sf), labels, iterations=QUERY_TREES)
+    fitted = model.train_ranker(matrix(spark, sf), labels)
     scored = scoring.with_fit(matrix(spark, sf), fitted)
     joined = scored.join(_labels(spark, sf), "candidate_id")
     return rounded(joined.select("candidate_id", "tier", "ml_fit"))
