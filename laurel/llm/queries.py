@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.llm import (
-    chat, fingerprints, mixing, packing, pii, quality, simhash,
+    chat, fingerprints, mixing, packing, pii, quality, simhash, simple8b,
     statements, substrings, suffixes, toxicity,
 )
+from laurel.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +134,15 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return left.select(
         "doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op11_simple8b_ids")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    read = simple8b.store_documents(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        scratch_path(spark, "token_ids"),
+    )
+    return read.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
