@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.llm import (
-    chat, fingerprints, mixing, packing, pii, quality, simhash, simple8b,
+    chat, fingerprints, mixing, packing, pii, prefixes, quality, simhash, simple8b,
     statements, substrings, suffixes, toxicity,
 )
 from laurel.session import scratch_path
@@ -146,3 +146,12 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query("op12_prefix_trie", statements.PREFIXES)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    found = prefixes.trie(prefixes.rebuilt(table(spark, sf, "conversations")))
+    return prefixes.with_end_digests(found).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        "ends_sha256",
+    )

@@ -96,3 +96,37 @@ counted AS (
   SELECT *, coalesce(CAST(c AS BIGINT), 0) + CASE WHEN q IS NOT NULL AND 2 * cum - size <= 2 * rest THEN 1 ELSE 0 END AS copies FROM ranked)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, c.source, copies
 FROM counted c JOIN targets t ON t.source IS NOT DISTINCT FROM c.source"""
+
+
+def crc32(text: str) -> str:
+    """The unsigned crc32 of a text of ASCII and Latin-1 letters' UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    byte = ("list_reduce(list_prepend(xor(c, b), range(8)), "
+            "lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)")
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {byte}), 4294967295)"
+
+
+PREFIXES = rf"""
+WITH own AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (SELECT conv_id, base, key, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) AS pos,
+    len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM own),
+heads AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+turns AS (
+  SELECT c.conv_id, 0 AS part, n.pos, n.key, n.words FROM heads c JOIN numbered n ON n.conv_id = c.base AND n.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, n.pos, n.key, n.words FROM heads c JOIN numbered n ON n.conv_id = c.conv_id AND n.pos > c.h),
+prefixes AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(key, '') OVER w AS path, words FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM heads),
+ended AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (
+  SELECT conv_id, arg_max(path, depth) AS path FROM prefixes GROUP BY conv_id) GROUP BY path),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved FROM prefixes GROUP BY path, depth),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+known AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+under AS (SELECT left(path, 32 * up) AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved FROM (
+  SELECT *, unnest(range(0, depth + 1)) AS up FROM known) GROUP BY ALL)
+SELECT k.conv_id, CAST(k.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, k.n_convs, CAST(k.n_children AS BIGINT) AS n_children,
+  CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM known k JOIN under u USING (path) LEFT JOIN ended e USING (path)
+LEFT JOIN nodes p ON k.depth > 0 AND p.path = left(k.path, 32 * (k.depth - 1))"""
