@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from laurel.llm import (
     chat, fingerprints, mixing, packing, pii, prefixes, quality, simhash, simple8b,
-    statements, substrings, suffixes, toxicity,
+    statements, substrings, suffixes, toxicity, variants,
 )
 from laurel.session import scratch_path
 
@@ -155,3 +155,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         "ends_sha256",
     )
+
+
+@query("op13_spelling_variants", statements.VARIANTS)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variant_forms(table(spark, sf, "documents"))

@@ -130,3 +130,23 @@ SELECT k.conv_id, CAST(k.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
   CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM known k JOIN under u USING (path) LEFT JOIN ended e USING (path)
 LEFT JOIN nodes p ON k.depth > 0 AND p.path = left(k.path, 32 * (k.depth - 1))"""
+
+VARIANTS = rf"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents),
+lowered AS (SELECT translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, id FROM runs),
+hashed AS (SELECT run, {crc32("id || ':' || run")} AS h FROM lowered),
+noisy AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+v AS MATERIALIZED (SELECT word, count(*) AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, v.word FROM cut JOIN v ON cut.rest = v.word
+  UNION SELECT v.word, cut.word FROM cut JOIN v ON cut.rest = v.word),
+near AS (SELECT a AS word, count(*) AS n_near, arg_min(b, {{'n': -n, 'w': b}}) AS best, max(n) AS best_n FROM pairs JOIN v ON v.word = b GROUP BY a),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form,
+    CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN near USING (word)),
+way AS (SELECT word, form, 1 AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT way.word, forms.form, step + 1 FROM way JOIN forms ON forms.word = way.form WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(form, step) AS root FROM way GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)"""
