@@ -192,8 +192,8 @@ def corpus_text(spark, sf):
 
 
 @query("rerank_text", f"""WITH {t.candidate_sql()} SELECT candidate_id, trim(concat_ws(' ', current_title, current_title || ' | profile',
-    (SELECT arg_min(title || ' ' || description[1:300], ln) FROM roles r WHERE r.k = p.k),
-    (SELECT array_to_string(list(name ORDER BY endorsements DESC, part, s)[1:10], ' ') FROM skills s WHERE s.k = p.k))) AS rerank_text FROM person p""")
+    (SELECT arg_min(title || ' ' || description, ln) FROM roles r WHERE r.k = p.k),
+    (SELECT array_to_string(list(name ORDER BY endorsements DESC, part, s), ' ') FROM skills s WHERE s.k = p.k))) AS rerank_text FROM person p""")
 def rerank_text(spark, sf):
     return profiles(spark, sf).select("candidate_id", "rerank_text")
 

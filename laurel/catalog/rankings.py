@@ -396,14 +396,11 @@ def coverage_pool(spark, sf):
 
 # --- comparing two rankings -----------------------------------------------------------
 
-_AB = f"""{_FINAL}, llm AS (SELECT f.*, ((substr(candidate_id, 6)::BIGINT * 7919) % 1000) / 1000.0::DOUBLE AS llm_fit_score FROM scored f WHERE jd_id = 0),
-b AS (SELECT *, row_number() OVER (ORDER BY {_key('sc')} DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'{_CORE} * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1)),
-w AS (SELECT *, row_number() OVER (ORDER BY {_key('sc')} DESC, candidate_id) AS rank FROM (SELECT candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'(0.85::DOUBLE * {_CORE} + 0.15::DOUBLE * llm_fit_score) * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1))"""
-
-
-_AB_JOBS = _FINAL + _AB[len(_FINAL):].replace(" WHERE jd_id = 0)", ")").replace(
-    "OVER (ORDER BY", "OVER (PARTITION BY jd_id ORDER BY").replace(
-    "(SELECT candidate_id, CASE", "(SELECT jd_id, candidate_id, CASE")
+_AB = f"""{_FINAL}, llm AS (SELECT f.*, ((substr(candidate_id, 6)::BIGINT * 7919) % 1000) / 1000.0::DOUBLE AS llm_fit_score FROM scored f),
+b AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY {_key('sc')} DESC, candidate_id) AS rank FROM (SELECT jd_id, candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'{_CORE} * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1)),
+w AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY {_key('sc')} DESC, candidate_id) AS rank FROM (SELECT jd_id, candidate_id, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'(0.85::DOUBLE * {_CORE} + 0.15::DOUBLE * llm_fit_score) * {_SHOWN}')} ELSE 0 END AS sc FROM llm WHERE is_honeypot <> 1)),
+m AS (SELECT jd_id, count(*) FILTER (b.candidate_id <> w.candidate_id) AS moved FROM b JOIN w USING (jd_id, rank) WHERE rank <= 20 GROUP BY jd_id),
+o AS (SELECT b.jd_id, count(w.candidate_id) AS overlap FROM b LEFT JOIN w ON b.jd_id = w.jd_id AND b.candidate_id = w.candidate_id AND w.rank <= 100 WHERE b.rank <= 100 GROUP BY b.jd_id)"""
 
 
 def _ab(spark, sf):
@@ -416,19 +413,15 @@ def _ab(spark, sf):
     return [df.select("jd_id", "candidate_id", "rank") for df in lists]
 
 
-@query("ab_churn", f"""{_AB}
-SELECT (SELECT count(*) FROM b JOIN w USING (rank) WHERE rank <= 20 AND b.candidate_id <> w.candidate_id) AS moved,
-  (SELECT count(*) FROM b WHERE rank <= 100 AND candidate_id IN (SELECT candidate_id FROM w WHERE rank <= 100)) AS overlap""")
+@query("ab_churn", f"{_AB} SELECT sum(moved)::BIGINT AS moved, sum(overlap)::BIGINT AS overlap FROM m JOIN o USING (jd_id)")
 def ab_churn(spark, sf):
-    """Job 0 alone, as the SQL states; ``ab_churn_by_job`` has all jobs."""
-    without, with_score = (df.filter("jd_id = 0").drop("jd_id") for df in _ab(spark, sf))
-    return metrics.compare_rankings(without, with_score, "candidate_id")
+    """Over all jobs: how many of the first twenty moved, how many of the first hundred stay."""
+    return ab_churn_by_job(spark, sf).agg(
+        F.sum("moved").alias("moved"), F.sum("overlap").alias("overlap")
+    )
 
 
-@query("ab_churn_by_job", f"""{_AB_JOBS},
-m AS (SELECT jd_id, count(*) FILTER (b.candidate_id <> w.candidate_id) AS moved FROM b JOIN w USING (jd_id, rank) WHERE rank <= 20 GROUP BY jd_id),
-o AS (SELECT b.jd_id, count(w.candidate_id) AS overlap FROM b LEFT JOIN w ON b.jd_id = w.jd_id AND b.candidate_id = w.candidate_id AND w.rank <= 100 WHERE b.rank <= 100 GROUP BY b.jd_id)
-SELECT jd_id, moved, overlap FROM m JOIN o USING (jd_id)""")
+@query("ab_churn_by_job", f"{_AB} SELECT jd_id, moved, overlap FROM m JOIN o USING (jd_id)")
 def ab_churn_by_job(spark, sf):
     without, with_score = _ab(spark, sf)
     return metrics.compare_rankings(without, with_score, "candidate_id", group="jd_id")
