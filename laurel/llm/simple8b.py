@@ -39,6 +39,10 @@ from laurel.llm.words import filled
 #: (ids in a word, bits of a slot) by selector
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12),
            (4, 15), (3, 20), (2, 30), (1, 60))
+COUNTS = np.array([count for count, _ in LAYOUTS])
+#: ids from here on are escapes in a slot of that width
+LIMITS = np.array([(1 << width) - 1 for _, width in LAYOUTS], np.uint64)
+NARROWEST = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.int8)
 BLOCK = 8192
 MAGIC = b"S8BIDS01"
 TRAILER = struct.Struct("<QQQQ8s")
@@ -54,24 +58,28 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned 32-bit ids to (words, escapes)."""
     values = np.ascontiguousarray(ids, "<u4").astype(np.uint64)
     n = len(values)
-    best_cost = np.full(n, np.inf, np.float32)
-    best = np.zeros(n, np.int8)
-    for selector, (count, width) in enumerate(LAYOUTS):
-        wide = np.zeros(n + 1, np.int32)
-        np.cumsum(values >= (1 << width) - 1, out=wide[1:])
-        ends = np.minimum(np.arange(n) + count, n)
-        held = ends - np.arange(n)
-        cost = (64 + 32 * (wide[ends] - wide[:-1])) / held.astype(np.float32)
-        better = cost < best_cost
-        best_cost[better], best[better] = cost[better], selector
-    counts = np.array([c for c, _ in LAYOUTS])
-    step = counts[best].tolist()
+    # the narrowest layout that holds an id, by its number; ids after the end fit everywhere
+    need = np.zeros(n + 60, np.int8)
+    need[:n] = NARROWEST[np.minimum(values, len(NARROWEST) - 1)]
+    large = np.nonzero(values >= len(NARROWEST))[0]
+    need[large] = np.searchsorted(LIMITS, values[large], "right")
+    left = np.arange(n, 0, -1, dtype=np.float32)
+    # bits per id in thousandths, then the selector: the least is the choice
+    best = np.full(n, np.iinfo(np.int32).max, np.int32)
+    wide = np.zeros(n + 61, np.int32)
+    for selector, (count, _) in enumerate(LAYOUTS):
+        np.cumsum(need > selector, out=wide[1:])
+        bits = (64_000 + 32_000 * (wide[count:n + count] - wide[:n])).astype(np.float32)
+        bits /= np.minimum(left, np.float32(count))
+        np.minimum(best, bits.astype(np.int32) * 16 + selector, out=best)
+    best &= 15
+    step = COUNTS[best].tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
         at += step[at]
     first = np.array(starts, np.int64)
-    selectors = best[first] if n else np.zeros(0, np.int8)
+    selectors = best[first]
     words = np.zeros(len(first), np.uint64)
     escaped = np.zeros(n, bool)
     for selector, (count, width) in enumerate(LAYOUTS):
@@ -97,7 +105,7 @@ def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     selectors = (words >> np.uint64(60)).astype(np.int64)
     if len(selectors) and selectors.max() >= len(LAYOUTS):
         raise ValueError("a word has a selector that is not in use")
-    counts = np.array([c for c, _ in LAYOUTS])[selectors]
+    counts = COUNTS[selectors]
     first = np.cumsum(counts) - counts
     # the last word may have slots to spare
     out = np.zeros(int(counts.sum()), np.uint32)
