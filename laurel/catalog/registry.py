@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from laurel.session import materialise
+from laurel.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+_PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -37,6 +38,16 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return _STORED[key]
 
 
+def stored_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object]) -> str:
+    """The folder of a stored artifact of several tables, built once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PATHS:
+        path = scratch_path(spark, name)
+        build(path)
+        _PATHS[key] = path
+    return _PATHS[key]
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison; arrays of strings joined by commas."""
     out = []

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laurel import vocab
-from laurel.catalog.registry import query, rounded
+from laurel.catalog.registry import query, rounded, stored_path
 from laurel.catalog.sqltext import has
 from laurel.functions import text as X
-from laurel.operators import evidence, metrics, ranking, retrieval
+from laurel.operators import evidence, metrics, ranking, retrieval, textindex
 from laurel.sources import artifacts
 from laurel.sources import tables as t
 
@@ -75,6 +75,24 @@ def bm25_scores(spark, sf):
     ))
 
 
+def text_index(spark, sf) -> textindex.TextIndex:
+    """The documents' index, written once: searches read it like any stored index."""
+    root = stored_path(spark, sf, "text_index", lambda path: textindex.write_index(
+        t.documents(spark, sf), "doc_id", "text", path, code="md5"
+    ))
+    return textindex.read_index(spark, root)
+
+
+@query("bm25_top", f"""WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e9 + 0.5) DESC, doc_id)::INTEGER AS rank FROM bm25 WHERE score > 0) WHERE rank <= 20""")
+def bm25_top(spark, sf):
+    """The best twenty documents of each benchmark text by BM25, from the stored index."""
+    found = textindex.bm25_top(
+        text_index(spark, sf), _benchmark(spark, sf), "item_id", "question", 20
+    )
+    return rounded(found.withColumnRenamed("id", "doc_id"))
+
+
 @query("bm25_custom_tokens", f"""WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS toks FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM docs),
 tf AS (SELECT doc_id, len(toks) AS dl, tok, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS tok FROM docs) GROUP BY ALL),
@@ -222,12 +240,25 @@ def fused_retrieval(spark, sf):
 @query("hybrid_search", f"""WITH {_FUSED} SELECT item_id, doc_id, round(retrieval_score, 6) AS retrieval_score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {_key('retrieval_score')} DESC, doc_id)::INTEGER AS rank FROM fused) WHERE rank <= 20""")
 def hybrid_search(spark, sf):
-    keyed = _fused(spark, sf).withColumn(
-        "key", ranking.score_key(F.col("retrieval_score"))
+    found = textindex.fused_top(
+        text_index(spark, sf), _benchmark(spark, sf), "item_id", "question", 20
+    )
+    return rounded(found.select("item_id", F.col("id").alias("doc_id"), "retrieval_score", "rank"))
+
+
+@query("fused_top", f"""WITH {_FUSED}, places AS (
+  SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY {_key('score')} DESC, doc_id) AS bm25_rank, NULL::BIGINT AS cosine_rank FROM bm25 WHERE {_key('score')} > 0
+  UNION ALL SELECT item_id, doc_id, NULL, row_number() OVER (PARTITION BY item_id ORDER BY {_key('score')} DESC, doc_id) FROM cosine WHERE {_key('score')} > 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {_key('retrieval_score')} DESC, doc_id)::INTEGER AS rank FROM fused)
+SELECT item_id, doc_id, max(bm25_rank) AS bm25_rank, max(cosine_rank) AS cosine_rank, rank FROM top JOIN places USING (item_id, doc_id) WHERE rank <= 50 GROUP BY ALL""")
+def fused_top(spark, sf):
+    """The best fifty documents of each benchmark text with their exact place in both lists."""
+    found = textindex.fused_top(
+        text_index(spark, sf), _benchmark(spark, sf), "item_id", "question", 50
+    )
+    return found.select(
+        "item_id", F.col("id").alias("doc_id"), "bm25_rank", "cosine_rank", "rank"
     )
-    return rounded(ranking.top_k(
-        keyed, 20, [F.col("key").desc(), F.col("doc_id")], "item_id"
-    ).drop("key"))
 
 
 _LISTS = """lists AS (
