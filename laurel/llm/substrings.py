@@ -9,6 +9,10 @@ words around them, each distinct surrounding once per part and once per index.
 A shard builds an FM-index (``fmindex``) over its surroundings and streams them through backward
 search: windows whose match is a full window long and repeated share an interval of the suffix
 order; the earliest of each interval stays. Parts read the documents from one reused exchange.
+
+An anchor with more than ``HOT`` different surroundings in the corpus (a common phrase among other
+words each time) would fill one shard. Its windows are sent one by one instead, each to the shard of
+a hash of all its words, where the index treats them like any other surrounding.
 """
 
 from __future__ import annotations
@@ -29,17 +33,22 @@ from laurel.llm.suffixes import NO_ID, ODD, PART_BYTES, find_anchors, mixed
 LENGTH, GRAM = 20, 8
 #: windows that can share an anchor
 SPREAD = LENGTH - GRAM + 1
+#: different surroundings of one anchor that go to one shard
+HOT = 500
 
 
 class Part:
     """The words of one part's documents in order of (id, text), with their anchors."""
 
     def __init__(self, table: pa.Table) -> None:
-        text, ids = table.column("text").to_pylist(), table.column("doc_id").to_pylist()
+        ids = table.column("doc_id").to_pylist()
+        text = [(t or "").encode() for t in table.column("text").to_pylist()]
+        # documents without an id are ordered by a hash, the same in every part
+        turn = [0 if i is not None else xxhash.xxh3_64_intdigest(t) for i, t in zip(ids, text)]
         rows = sorted(range(len(ids)), key=lambda i: (
-            ids[i] is None, ids[i] if ids[i] is not None else 0, text[i] or ""))
+            ids[i] is None, ids[i] if ids[i] is not None else 0, turn[i], text[i]))
         self.ids = [ids[i] for i in rows]
-        self.texts = [(text[i] or "").encode() for i in rows]
+        self.texts = [text[i] for i in rows]
         number: defaultdict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
         coded = []
@@ -54,7 +63,8 @@ class Part:
             self.words, self.ends, LENGTH, GRAM)
         owner = np.searchsorted(self.ends, self.anchor, "right")
         key = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
-        self.doc = key[owner] if len(owner) else key[:0]
+        self.doc = key[owner]
+        self.turn = np.array([turn[i] for i in rows], np.uint64)[owner]
 
     def names(self, shards: int):
         """Distinct anchors by (shard, hash): (shard, hash, number of each anchor, repeated)."""
@@ -65,15 +75,42 @@ class Part:
         place[order] = np.arange(len(order))
         return shard[order], name[order], place[number], count[order] > 1
 
-    def chosen(self, shards: int, bits: pa.Table) -> np.ndarray:
-        """Anchors that occur twice in the corpus."""
+    def varied(self, number: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+        """How many different surroundings each name has here."""
+        if not len(number):
+            return np.zeros(0, np.uint16)
+        kept, _ = self.distinct(np.flatnonzero(repeated[number]))
+        count = np.bincount(number[kept], minlength=len(repeated))
+        return np.clip(count, 1, np.iinfo(np.uint16).max).astype(np.uint16)
+
+    def chosen(self, shards: int, bits: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors that occur twice in the corpus: common ones, and those that are hot."""
         shard, name, number, shared = self.names(shards)
-        known = dict(zip(bits.column("shard").to_pylist(), bits.column("bits").to_pylist()))
+        hot = np.zeros(len(shared), bool)
+        known = zip(*(bits.column(c).to_pylist() for c in ("shard", "bits", "hot")))
+        known = {k[0]: k[1:] for k in known}
         for s, low, high in spans(shard):
-            if s in known:
-                own = np.unpackbits(np.frombuffer(known[s], np.uint8), count=high - low)
-                shared[low:high] |= own.astype(bool)
-        return np.flatnonzero(shared[number]) if len(number) else np.zeros(0, np.int64)
+            for flags, raw in zip((shared, hot), known.get(s, ())):
+                if raw:
+                    own = np.unpackbits(np.frombuffer(raw, np.uint8), count=high - low)
+                    flags[low:high] |= own.astype(bool)
+        if not len(number):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.flatnonzero((shared & ~hot)[number]), np.flatnonzero(hot[number])
+
+    def windows(self, hot: np.ndarray):
+        """The windows of hot anchors, each distinct one once: (anchor, which of its windows, hash
+        of the words); and the later ones (anchor, which)."""
+        count = self.last[hot] - self.first[hot] + 1
+        row = np.repeat(hot, count)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start = self.first[row] + nth
+        key = around(self.words, start, start + LENGTH)
+        _, first = np.unique(key, return_index=True)
+        later = np.ones(len(row), bool)
+        later[first] = False
+        first = np.sort(first)
+        return (row[first], nth[first], key[first]), (row[later], nth[later])
 
     def distinct(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first anchor of each distinct surrounding, the later ones)."""
@@ -115,28 +152,39 @@ def _rows(names: tuple[str, ...], rows: list[tuple], kinds: list[pa.DataType]) -
 
 def _name_anchors(shards: int):
     def run(key, table):
-        shard, name, _, _ = Part(table).names(shards)
+        part = Part(table)
+        shard, name, number, repeated = part.names(shards)
+        varied = part.varied(number, repeated)
         # the five high bytes find candidates; the index compares words
         short = np.ascontiguousarray(name.view(np.uint8).reshape(-1, 8)[:, 3:])
-        rows = [(s, key[0].as_py(), short[a:b].tobytes()) for s, a, b in spans(shard)]
-        return _rows(("shard", "part", "names"), rows, [pa.int32(), pa.int32(), pa.binary()])
+        rows = [(s, key[0].as_py(), short[a:b].tobytes(), varied[a:b].tobytes())
+                for s, a, b in spans(shard)]
+        return _rows(("shard", "part", "names", "varied"), rows,
+                     [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
     return run
 
 
-def _shared_names(key, table):
-    blobs = [np.frombuffer(b, np.uint8).reshape(-1, 5) for b in table.column("names").to_pylist()]
-    value = np.zeros((sum(map(len, blobs)), 8), np.uint8)
-    value[:, :5] = np.concatenate(blobs)
-    _, number, count = np.unique(value.view(np.uint64)[:, 0], return_inverse=True, return_counts=True)
-    shared = count[number] > 1
-    at = np.cumsum([0, *map(len, blobs)])
-    rows = [(key[0].as_py(), p, np.packbits(shared[a:b]).tobytes())
-            for p, a, b in zip(table.column("part").to_pylist(), at, at[1:])]
-    return _rows(("shard", "part", "bits"), rows, [pa.int32(), pa.int32(), pa.binary()])
+def _shared_names(most: int):
+    def run(key, table):
+        blobs = [np.frombuffer(b, np.uint8).reshape(-1, 5) for b in table.column("names").to_pylist()]
+        varied = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("varied").to_pylist()])
+        value = np.zeros((sum(map(len, blobs)), 8), np.uint8)
+        value[:, :5] = np.concatenate(blobs)
+        _, number, count = np.unique(
+            value.view(np.uint64)[:, 0], return_inverse=True, return_counts=True)
+        shared = count[number] > 1
+        hot = (np.bincount(number, varied) > most)[number]
+        at = np.cumsum([0, *map(len, blobs)])
+        rows = [(key[0].as_py(), p, np.packbits(shared[a:b]).tobytes(),
+                 np.packbits(hot[a:b]).tobytes() if hot[a:b].any() else b"")
+                for p, a, b in zip(table.column("part").to_pylist(), at, at[1:])]
+        return _rows(("shard", "part", "bits", "hot"), rows,
+                     [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+    return run
 
 
-PIECE = (("size", np.uint8), ("ahead", np.uint8), ("doc", np.int64), ("place", np.int64),
-         ("at", np.int32))
+PIECE = (("size", np.uint8), ("ahead", np.uint8), ("doc", np.int64), ("turn", np.uint64),
+         ("place", np.int64), ("at", np.int32), ("shift", np.uint8))
 
 
 def _send(shards: int):
@@ -144,17 +192,25 @@ def _send(shards: int):
         rows = []
         if docs.num_rows:
             part = Part(docs)
-            kept, _ = part.distinct(part.chosen(shards, bits))
-            shard = (part.hash[kept] % np.uint64(shards)).astype(np.int64)
+            common, hot = part.chosen(shards, bits)
+            kept, _ = part.distinct(common)
+            (row, nth, name), _ = part.windows(hot)
+            at = np.concatenate([kept, row])
+            shift = np.concatenate([np.zeros(len(kept), np.int64), nth])
+            lows = part.first[at] + shift
+            sizes = np.concatenate([
+                part.last[kept] + LENGTH - part.first[kept], np.full(len(row), LENGTH)])
+            shard = (np.concatenate([part.hash[kept], name]) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             for s, a, b in spans(shard[order]):
-                r = kept[order[a:b]]
-                low, size = part.first[r], part.last[r] + LENGTH - part.first[r]
+                o = order[a:b]
+                r, low, size = at[o], lows[o], sizes[o]
                 flat = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
                 words, code = np.unique(part.words[flat], return_inverse=True)
                 raw = b"".join(x.tobytes() for x in (
                     size.astype(np.uint8), (part.anchor[r] - low).astype(np.uint8), part.doc[r],
-                    part.anchor[r], r.astype(np.int32), words, code.astype(np.int32)))
+                    part.turn[r], part.anchor[r], r.astype(np.int32), shift[o].astype(np.uint8),
+                    words, code.astype(np.int32)))
                 rows.append((s, key[0].as_py(), len(r), len(words), len(code), len(raw),
                              pa.compress(raw, codec="zstd", asbytes=True)))
         return _rows(("shard", "part", "n", "w", "c", "size", "blob"), rows,
@@ -172,14 +228,14 @@ def _unpack(n: int, w: int, c: int, size: int, blob: bytes) -> list[np.ndarray]:
 
 
 def repeated_windows(size: np.ndarray, words: np.ndarray, ahead: np.ndarray, doc: np.ndarray,
-                     place: np.ndarray) -> np.ndarray:
+                     turn: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Per surrounding a bit for each of its windows: the same words start earlier.
 
-    Surrounding i is ``size[i]`` words of the concatenated ``words``; (doc, place) orders them.
+    Surrounding i is ``size[i]`` words of the concatenated ``words``; (doc, turn, place) orders them.
     """
     start = np.cumsum(size) - size
     rank = np.empty(len(size), np.int64)
-    rank[np.lexsort((place, doc))] = np.arange(len(size))
+    rank[np.lexsort((place, turn, doc))] = np.arange(len(size))
     # equal surroundings, from different parts, are indexed once
     with np.errstate(over="ignore"):
         key = mixed(around(words, start, start + size) * ODD + ahead.astype(np.uint64))
@@ -217,9 +273,11 @@ def repeated_windows(size: np.ndarray, words: np.ndarray, ahead: np.ndarray, doc
 def _search(key, table):
     columns = [table.column(c).to_pylist() for c in ("n", "w", "c", "size", "blob")]
     parts = [_unpack(*row) for row in zip(*columns)]
-    size, ahead, doc, place, at = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    words = np.concatenate([p[5][p[6]] for p in parts])
-    bits = repeated_windows(size.astype(np.int64), words, ahead, doc, place).astype(np.int32)
+    size, ahead, doc, turn, place, at, shift = (
+        np.concatenate([p[i] for p in parts]) for i in range(len(PIECE)))
+    words = np.concatenate([p[-2][p[-1]] for p in parts])
+    bits = repeated_windows(size.astype(np.int64), words, ahead, doc, turn, place)
+    bits = (bits << shift).astype(np.int32)
     ends = np.cumsum(columns[0]).tolist()
     rows = []
     for p, low, high in zip(table.column("part").to_pylist(), [0, *ends], ends):
@@ -238,12 +296,17 @@ def _remove(shards: int, kind: pa.DataType):
             return _rows(names, [], kinds)
         part = Part(docs)
         named = found.column("names")
-        _, later = part.distinct(part.chosen(shards, found.filter(named)))
+        common, hot = part.chosen(shards, found.filter(named))
+        _, later = part.distinct(common)
+        _, (row, nth) = part.windows(hot)
         verdicts = found.filter(pc.invert(named))
         bits = np.zeros(len(part.anchor), np.int64)
         for at, b in zip(verdicts.column("at").to_pylist(), verdicts.column("bits").to_pylist()):
-            bits[np.frombuffer(at, np.int32)] = np.frombuffer(b, np.int32)
-        bits[later] = -1  # an equal surrounding stands earlier in this part
+            # a hot anchor has a verdict for each of its windows
+            np.bitwise_or.at(bits, np.frombuffer(at, np.int32), np.frombuffer(b, np.int32))
+        # the same words stand earlier in this part
+        bits[later] = -1
+        np.bitwise_or.at(bits, row, 1 << nth)
         change = np.zeros(len(part.words) + 1, np.int32)
         for k in range(SPREAD):
             start = part.first + k
@@ -264,32 +327,38 @@ def _remove(shards: int, kind: pa.DataType):
     return run
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, text) to (doc_id, n_words, spans, kept): ``kept`` is the words left, joined by a
     space; ``spans`` are the removed runs (start, end) in words.
 
-    Null text has no words. Documents without an id come after all others, in the order of their
-    text; rows of one id follow each other likewise, so that a repeated row is removed as a later
-    part of its document. Ids are integers. An empty table gives an empty result; other columns
+    Null text has no words. Documents without an id come after all others, in the order of a hash of
+    their text; rows of one id follow each other by their text, so that a repeated row is removed as
+    a later part of its document. Ids are integers. An empty table gives an empty result; other columns
     are ignored.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
-    own = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(parts)).cast("int")
+    # rows without an id are dealt by their text
+    name = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+    own = F.pmod(name, F.lit(parts)).cast("int")
     dealt = docs.select("doc_id", "text", own.alias("part")).repartition(parts, "part")
     named = dealt.groupBy("part").applyInArrow(
-        _name_anchors(parts), "shard int, part int, names binary"
+        _name_anchors(parts), "shard int, part int, names binary, varied binary"
+    )
+    shared = named.groupBy("shard").applyInArrow(
+        _shared_names(hot), "shard int, part int, bits binary, hot binary"
     )
-    shared = named.groupBy("shard").applyInArrow(_shared_names, "shard int, part int, bits binary")
     sent = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
         _send(parts), "shard int, part int, n long, w long, c long, size long, blob binary"
     )
     verdicts = sent.groupBy("shard").applyInArrow(_search, "part int, at binary, bits binary")
     both = shared.select(
-        "part", "shard", F.lit(True).alias("names"), F.lit(None).cast("binary").alias("at"), "bits"
+        "part", "shard", F.lit(True).alias("names"), F.lit(None).cast("binary").alias("at"), "bits",
+        "hot",
     ).unionByName(verdicts.select(
-        "part", F.lit(None).cast("int").alias("shard"), F.lit(False).alias("names"), "at", "bits"
+        "part", F.lit(None).cast("int").alias("shard"), F.lit(False).alias("names"), "at", "bits",
+        F.lit(None).cast("binary").alias("hot"),
     ))
     small = docs.schema["doc_id"].dataType.simpleString() == "int"
     return dealt.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(

@@ -4,7 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
+import xxhash
 
 from laurel.llm import fmindex
 from laurel.llm import substrings as sub
@@ -13,7 +16,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(rows, length=20):
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1] or ""))
+    turn = lambda k: xxhash.xxh3_64_intdigest(rows[k][1] or "") if rows[k][0] is None else 0
+    order = sorted(range(len(rows)), key=lambda k: (
+        rows[k][0] is None, rows[k][0] or 0, turn(k), rows[k][1] or ""))
     first, out = set(), []
     for k in order:
         words = WORD.findall(rows[k][1] or "")
@@ -27,15 +32,15 @@ def brute(rows, length=20):
     return sorted(out, key=str)
 
 
-def run(spark, documents, rows):
-    got = sub.remove_repeats(documents(rows)).collect()
+def run(spark, documents, rows, hot=sub.HOT):
+    got = sub.remove_repeats(documents(rows), hot).collect()
     for r in got:
         assert sum(s.end - s.start for s in r.spans) == r.n_words - len(r.kept.split())
     return sorted(((r.doc_id, r.n_words, r.kept) for r in got), key=str)
 
 
-@pytest.mark.parametrize("vocab", [2, 5, 60])
-def test_against_brute_force(spark, documents, vocab):
+@pytest.mark.parametrize("vocab,hot", [(2, sub.HOT), (5, 0), (60, sub.HOT), (60, 2)])
+def test_against_brute_force(spark, documents, vocab, hot):
     rng = random.Random(vocab)
     make = lambda n: [f"w{rng.randrange(vocab)}" for _ in range(n)]
     base = [make(rng.randint(0, 150)) for _ in range(20)]
@@ -49,8 +54,10 @@ def test_against_brute_force(spark, documents, vocab):
         rows.append((100 + i, "  ".join(words) + "\n"))
     rows += [(3, " ".join(base[4])), (None, " ".join(base[5])), (None, " ".join(base[5])), (900, None),
              (901, ""), (902, "x " * 500), (903, "x\ty\n" * 90), (904, " ".join(base[1] * 3))]
+    # many rows without an id, which repeat each other and others
+    rows += [(None, " ".join(rng.choice(base)[:40] + make(2))) for _ in range(30)]
     rng.shuffle(rows)
-    assert run(spark, documents, rows) == brute(rows)
+    assert run(spark, documents, rows, hot) == brute(rows)
 
 
 def test_corpus(spark, documents, corpus):
@@ -93,3 +100,40 @@ def test_edges(spark, documents):
     extra = documents([(2, "a " * 30), (1, "a " * 30)]).selectExpr("*", "1 AS part", "2 AS shard")
     got = sorted((r.doc_id, r.n_words, r.kept) for r in sub.remove_repeats(extra).collect())
     assert [g[:2] for g in got] == [(1, 30), (2, 30)] and got[1][2] == ""
+
+
+def phrases(n, seed=1):
+    """One phrase of twelve words among other words in every document; some repeat their text."""
+    rng = random.Random(seed)
+    phrase = " ".join(f"phrase{i}" for i in range(12))
+    other = lambda k: " ".join(f"v{rng.randrange(10**6)}" for _ in range(k))
+    rows = [(i, f"{other(15)} {phrase} {other(15)}") for i in range(n)]
+    return rows + [(n + i, f"{other(3)} {rows[i][1]}") for i in range(0, n, 9)]
+
+
+def test_a_phrase_in_every_document_is_spread(spark, documents):
+    rows = phrases(700)
+    sizes = []
+    for hot in (10**9, 50):
+        sent = pieces(rows, hot)
+        sizes.append(max(sent.values()) / (sum(sent.values()) / len(sent)))
+    assert sizes[0] > 4 > 2 > sizes[1]
+    assert run(spark, documents, rows, 50) == brute(rows)
+
+
+def pieces(rows, hot):
+    """Rows that each shard gets, of the steps as the operator takes them in one process."""
+    table = lambda part: pa.table({"doc_id": pa.array([r[0] for r in part], pa.int64()),
+                                   "text": [r[1] for r in part]})
+    shards, parts = 16, [rows[i::8] for i in range(8)]
+    key = lambda i: (pa.scalar(i, pa.int32()),)
+    named = pa.concat_tables([sub._name_anchors(shards)(key(i), table(p)) for i, p in enumerate(parts)])
+    by = lambda t, c, v: t.filter(pa.compute.equal(t.column(c), v))
+    shared = pa.concat_tables([sub._shared_names(hot)(key(s), by(named, "shard", s)) for s in range(shards)
+                               if by(named, "shard", s).num_rows])
+    got = {}
+    for i, p in enumerate(parts):
+        sent = sub._send(shards)(key(i), table(p), by(shared, "part", i))
+        for s, n in zip(sent.column("shard").to_pylist(), sent.column("n").to_pylist()):
+            got[s] = got.get(s, 0) + n
+    return got
