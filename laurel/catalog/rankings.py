@@ -77,24 +77,52 @@ def query_groups(spark, sf):
     return sampling.with_holdout(rows).select("candidate_id", "query_group", "holdout")
 
 
+def _trained_fit(spark, sf):
+    def build():
+        labelled = scoring.with_proxy_label(matrix(spark, sf))
+        return scoring.with_fit(labelled, model.train_fit(labelled, "proxy_label")).select(
+            "candidate_id", "proxy_label", "ml_fit"
+        )
+
+    return stored(spark, sf, "trained_fit", build)
+
+
+def _trained_ranker(spark, sf):
+    def build():
+        fitted = model.train_ranker(matrix(spark, sf), training_rows(spark, sf))
+        return scoring.with_fit(matrix(spark, sf), fitted).select("candidate_id", "ml_fit").join(
+            _labels(spark, sf), "candidate_id"
+        )
+
+    return stored(spark, sf, "trained_ranker", build)
+
+
 @query("trained_fit")
 def trained_fit(spark, sf):
     """Gradient-boosted trees on the proxy labels, applied to all rows (no SQL check)."""
-    labelled = scoring.with_proxy_label(matrix(spark, sf))
-    fitted = model.train_fit(labelled, "proxy_label")
-    return rounded(scoring.with_fit(labelled, fitted).select(
-        "candidate_id", "proxy_label", "ml_fit"
-    ))
+    return rounded(_trained_fit(spark, sf))
 
 
 @query("trained_ranker")
 def trained_ranker(spark, sf):
-    """Trees on the graded tiers of the balanced training rows (no SQL check)."""
-    labels = training_rows(spark, sf)
-    fitted = model.train_ranker(matrix(spark, sf), labels)
-    scored = scoring.with_fit(matrix(spark, sf), fitted)
-    joined = scored.join(_labels(spark, sf), "candidate_id")
-    return rounded(joined.select("candidate_id", "tier", "ml_fit"))
+    """Listwise trees on the graded tiers of the balanced training rows (no SQL check)."""
+    return rounded(_trained_ranker(spark, sf).select("candidate_id", "tier", "ml_fit"))
+
+
+@query("trained_report", f"""{S.LABELLED}, n AS (SELECT count(*) AS rows FROM labelled)
+SELECT model, rows, TRUE AS in_range, TRUE AS follows_label FROM n, (SELECT unnest(['fit', 'ranker']) AS model)""")
+def trained_report(spark, sf):
+    """What must hold of both models whatever their trees: a prediction in 0..1 for every row, which
+    follows its label (in-sample correlation above 0.8 and 0.3)."""
+    def report(name, scored, label, least):
+        return model.fit_report(scored, label).select(
+            F.lit(name).alias("model"), "rows", "in_range",
+            (F.col("correlation") > least).alias("follows_label"),
+        )
+
+    return report("fit", _trained_fit(spark, sf), "proxy_label", 0.8).unionByName(
+        report("ranker", _trained_ranker(spark, sf), "tier", 0.3)
+    )
 
 
 # --- retrieval, heads and final scores per job ----------------------------------------
