@@ -15,6 +15,11 @@ at the same place, and comparing what stands around equal anchors finds every eq
 5. Parts turn the windows found in a smaller document into removed bytes.
 
 A copied text sends its surroundings once per part, whatever the number of its copies.
+
+An anchor with more than ``HOT`` different surroundings in the corpus (a common phrase between other
+words each time) would fill one bucket. Its windows are sent one by one instead, as suffixes of their
+own from the window's first byte, and dealt by a hash of their fifty bytes; equal windows meet there
+and are sorted and compared like all others.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ LEFT = LENGTH - GRAM
 PART_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 #: documents and anchors of each that splitters are sampled from
 SAMPLE_DOCS, SAMPLE_EACH = 4000, 16
+#: different surroundings of one anchor that go to one bucket
+HOT = 500
 #: stands for a missing id: after all others
 NO_ID = np.iinfo(np.int64).max
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -183,22 +190,61 @@ class Part:
                 for word in part.T:
                     key = mixed(key * ODD + word)
             key = mixed(key * ODD + (near * 64 + far).astype(np.uint64))
-        doc = self.doc[chosen]
-        order = np.lexsort((doc, key))
-        new = np.ones(len(order), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc
-        copies = chosen[order[doc[order] > least]]
-        same = order[(doc[order] == least) & ~new]
-        rows = order[new]
+        rows, copies, same, twins = least_of_each(key, self.doc[chosen])
         # a document's own repeats share the verdict of its first one
-        twins = (chosen[same], chosen[rows][(np.cumsum(new) - 1)[(doc[order] == least) & ~new]])
-        return (chosen[rows], right[rows], left[rows], near[rows], far[rows], doc[rows]), copies, twins
+        return (
+            (chosen[rows], right[rows], left[rows], near[rows], far[rows], self.doc[chosen][rows]),
+            chosen[copies], (chosen[same], chosen[twins]),
+        )
+
+    def windows(self, hot: np.ndarray):
+        """The windows of hot anchors, each distinct one once, from the smallest id: (anchor,
+        distance of the anchor from the window's start, bytes, hash); copies (anchor, distance) that
+        stand in a smaller document here; and a document's own repeats with their first ones."""
+        count = self.last[hot] - self.first[hot] + 1
+        row = np.repeat(hot, count)
+        start = self.first[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        far = self.anchor[row] - start
+        whole = masked(symbols(self.data, start, 7), np.full(len(row), LENGTH))
+        key = np.zeros(len(row), np.uint64)
+        with np.errstate(over="ignore"):
+            for word in whole.T:
+                key = mixed(key * ODD + word)
+        rows, copies, same, twins = least_of_each(key, self.doc[row])
+        return (
+            (row[rows], far[rows], whole[rows], key[rows]), (row[copies], far[copies]),
+            (row[same], row[twins], far[same]),
+        )
+
+    def varied(self, number: np.ndarray, names: int) -> np.ndarray:
+        """How many different surroundings each name has here."""
+        count = np.bincount(number, minlength=names)
+        if not len(number):
+            return np.zeros(0, np.uint16)
+        repeated = np.flatnonzero((count > 1)[number])
+        (at, *_), _, _ = self.surroundings(repeated)
+        where = np.zeros(len(number), np.int64)
+        where[repeated] = number[repeated]
+        found = np.bincount(where[at], minlength=names)
+        return np.clip(found, 1, np.iinfo(np.uint16).max).astype(np.uint16)
 
     def _reversed(self) -> np.ndarray:
         return self.data[::-1]
 
 
+def least_of_each(key: np.ndarray, doc: np.ndarray):
+    """Of each key one row of the smallest document; the rows of larger documents; and further rows
+    of the smallest one with the row that stands for them."""
+    order = np.lexsort((doc, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    run = np.cumsum(new) - 1
+    least = doc[order][np.flatnonzero(new)][run] if len(order) else doc
+    same = (doc[order] == least) & ~new
+    rows = order[new]
+    return rows, order[doc[order] > least], order[same], rows[run[same]]
+
+
 def masked(words: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Rows of eight-byte symbols with all bytes after the first ``size`` set to zero."""
     bits = np.clip(size[:, None] - 8 * np.arange(words.shape[1]), 0, 8) * 8
@@ -228,44 +274,54 @@ def _spans(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _name_anchors(splitters: np.ndarray):
     def run(key, table):
-        bucket, name, _, _ = Part(table).names(splitters)
-        rows = [(b, key[0].as_py(), h - low, _short(name[low:h]).tobytes())
+        part = Part(table)
+        bucket, name, number, _ = part.names(splitters)
+        varied = part.varied(number, len(name))
+        rows = [(b, key[0].as_py(), _short(name[low:h]).tobytes(), varied[low:h].tobytes())
                 for b, low, h in _spans(bucket)]
         return pa.Table.from_pylist(
-            [dict(zip(("bucket", "part", "n", "names"), r)) for r in rows],
-            pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int32()),
-                       ("names", pa.binary())]))
+            [dict(zip(("bucket", "part", "names", "varied"), r)) for r in rows],
+            pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("names", pa.binary()),
+                       ("varied", pa.binary())]))
     return run
 
 
-def _shared_names(key, table):
-    """Per part one bit for each of its names: known in another part too."""
-    blobs = [np.frombuffer(b, np.uint8).reshape(-1, 5) for b in table.column("names").to_pylist()]
-    value = np.zeros((sum(map(len, blobs)), 8), np.uint8)
-    value[:, :5] = np.concatenate(blobs)
-    value = value.view(np.uint64)[:, 0]
-    order = np.argsort(value, kind="stable")
-    same = value[order][1:] == value[order][:-1]
-    shared = np.zeros(len(value), bool)
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
-    at = np.cumsum([0, *map(len, blobs)])
-    return pa.table({
-        "bucket": pa.array([key[0].as_py()] * len(blobs), pa.int32()),
-        "part": table.column("part").combine_chunks(),
-        "bits": pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary()),
-    })
+def _shared_names(most: int):
+    """Per part one bit for each of its names: known in another part too; and one for the hot ones."""
+    def run(key, table):
+        blobs = [np.frombuffer(b, np.uint8).reshape(-1, 5) for b in table.column("names").to_pylist()]
+        varied = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("varied").to_pylist()])
+        value = np.zeros((sum(map(len, blobs)), 8), np.uint8)
+        value[:, :5] = np.concatenate(blobs)
+        _, number, count = np.unique(
+            value.view(np.uint64)[:, 0], return_inverse=True, return_counts=True)
+        shared = count[number] > 1
+        hot = (np.bincount(number, varied) > most)[number]
+        at = np.cumsum([0, *map(len, blobs)])
+        return pa.table({
+            "bucket": pa.array([key[0].as_py()] * len(blobs), pa.int32()),
+            "part": table.column("part").combine_chunks(),
+            "bits": pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary()),
+            "hot": pa.array([np.packbits(hot[a:b]).tobytes() if hot[a:b].any() else b""
+                             for a, b in zip(at, at[1:])], pa.binary()),
+        })
+    return run
 
 
-def _chosen(part: Part, splitters: np.ndarray, bits: pa.Table) -> np.ndarray:
+def _chosen(part: Part, splitters: np.ndarray, bits: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors known in two documents: common ones, and those that are hot."""
     bucket, name, number, twice = part.names(splitters)
-    known = dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()))
-    shared = twice.copy()
+    known = zip(*(bits.column(c).to_pylist() for c in ("bucket", "bits", "hot")))
+    known = {k[0]: k[1:] for k in known}
+    shared, hot = twice.copy(), np.zeros(len(twice), bool)
     for b, low, high in _spans(bucket):
-        if b in known:
-            own = np.unpackbits(np.frombuffer(known[b], np.uint8), count=high - low)
-            shared[low:high] |= own.astype(bool)
-    return np.flatnonzero(shared[number]) if len(number) else np.zeros(0, np.int64)
+        for flags, raw in zip((shared, hot), known.get(b, ())):
+            if raw:
+                own = np.unpackbits(np.frombuffer(raw, np.uint8), count=high - low)
+                flags[low:high] |= own.astype(bool)
+    if not len(number):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.flatnonzero((shared & ~hot)[number]), np.flatnonzero((shared & hot)[number])
 
 
 def _send(splitters: np.ndarray):
@@ -273,15 +329,26 @@ def _send(splitters: np.ndarray):
         out = []
         if docs.num_rows:
             part = Part(docs)
-            (at, right, left, near, far, doc), _, _ = part.surroundings(
-                _chosen(part, splitters, bits))
-            bucket = part.buckets(part.anchor[at], splitters)
+            common, hot = _chosen(part, splitters, bits)
+            (at, right, left, near, far, doc), _, _ = part.surroundings(common)
+            (row, away, whole, name), _, _ = part.windows(hot)
+            bucket = np.concatenate([
+                part.buckets(part.anchor[at], splitters),
+                (name % np.uint64(len(splitters) + 1)).astype(np.int64),
+            ])
+            none = np.zeros(len(row), np.int64)
+            columns = (
+                np.concatenate([right, whole]),
+                np.concatenate([left, np.zeros((len(row), 4), np.uint64)]),
+                np.concatenate([doc, part.doc[row]]), np.concatenate([at, row]).astype(np.int32),
+                np.concatenate([near, none]).astype(np.int8),
+                np.concatenate([far, none]).astype(np.int8),
+                np.concatenate([np.zeros(len(at), np.int64), away]).astype(np.int8),
+            )
             order = np.argsort(bucket, kind="stable")
             for b, low, high in _spans(bucket[order]):
                 r = order[low:high]
-                out.append((b, key[0].as_py(), high - low, _pack(
-                    right[r], left[r], doc[r], at[r].astype(np.int32),
-                    near[r].astype(np.int8), far[r].astype(np.int8))))
+                out.append((b, key[0].as_py(), high - low, _pack(*(x[r] for x in columns))))
         return pa.Table.from_pylist(
             [dict(zip(("bucket", "part", "n", "rows"), r)) for r in out],
             pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int32()),
@@ -290,7 +357,7 @@ def _send(splitters: np.ndarray):
 
 
 ROW = (("right", np.uint64, 7), ("left", np.uint64, 4), ("doc", np.int64, 1),
-       ("at", np.int32, 1), ("near", np.int8, 1), ("far", np.int8, 1))
+       ("at", np.int32, 1), ("near", np.int8, 1), ("far", np.int8, 1), ("shift", np.int8, 1))
 
 
 def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
@@ -333,8 +400,8 @@ def equal_windows(right, left, doc, near, far) -> np.ndarray:
 def _compare(key, table):
     counts = table.column("n").to_pylist()
     parts = [_unpack(b, n) for b, n in zip(table.column("rows").to_pylist(), counts)]
-    right, left, doc, at, near, far = (np.concatenate(x) for x in zip(*parts))
-    bits = equal_windows(right, left, doc, near, far).astype(np.int32)
+    right, left, doc, at, near, far, shift = (np.concatenate(x) for x in zip(*parts))
+    bits = (equal_windows(right, left, doc, near, far) << shift).astype(np.int32)
     out, low = [], 0
     for n in counts:
         hit = np.flatnonzero(bits[low:low + n])
@@ -358,12 +425,17 @@ def _remove(splitters: np.ndarray, kind: pa.DataType):
         part = Part(docs)
         names, verdicts = found.filter(found.column("names")), found.filter(
             pa.compute.invert(found.column("names")))
-        _, copies, twins = part.surroundings(_chosen(part, splitters, names))
+        common, hot = _chosen(part, splitters, names)
+        _, copies, twins = part.surroundings(common)
+        _, (row, away), (again, one, d) = part.windows(hot)
         bits = np.zeros(len(part.anchor), np.int64)
         for at, b in zip(verdicts.column("at").to_pylist(), verdicts.column("bits").to_pylist()):
-            bits[np.frombuffer(at, np.int32)] = np.frombuffer(b, np.int32)
+            # a hot anchor has a verdict for each of its windows
+            np.bitwise_or.at(bits, np.frombuffer(at, np.int32), np.frombuffer(b, np.int32))
         bits[copies] = -1
         bits[twins[0]] = bits[twins[1]]
+        np.bitwise_or.at(bits, row, 1 << away)
+        np.bitwise_or.at(bits, again, (bits[one] >> d & 1) << d)
         change = np.zeros(len(part.data) + 1, np.int32)
         for d in range(LEFT + 1):
             start = part.anchor - d
@@ -407,7 +479,7 @@ def sample_splitters(docs: DataFrame, rows: int, buckets: int) -> np.ndarray:
     return np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(int)[1:-1]])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, text) to (doc_id, n_bytes, spans, kept): ``kept`` is what is left of the text's
     UTF-8 bytes without every byte in a 50-byte string that also starts in a document with a
     smaller id; ``spans`` are the removed runs (start, end) in bytes.
@@ -422,21 +494,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = max(least, math.ceil((size[1] or 0) / PART_BYTES))
     splitters = sample_splitters(docs, size[0], parts)
     kind = pa.int32() if docs.schema["doc_id"].dataType.simpleString() == "int" else pa.int64()
-    own = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(parts)).cast("int")
+    # rows without an id are dealt by their text
+    name = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+    own = F.pmod(name, F.lit(parts)).cast("int")
     dealt = docs.select("doc_id", "text", own.alias("part")).repartition(parts, "part")
     named = dealt.groupBy("part").applyInArrow(
-        _name_anchors(splitters), "bucket int, part int, n int, names binary"
+        _name_anchors(splitters), "bucket int, part int, names binary, varied binary"
     )
     shared = named.groupBy("bucket").applyInArrow(
-        _shared_names, "bucket int, part int, bits binary"
+        _shared_names(hot), "bucket int, part int, bits binary, hot binary"
     )
     sent = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
         _send(splitters), "bucket int, part int, n int, rows binary"
     )
     verdicts = sent.groupBy("bucket").applyInArrow(_compare, "part int, at binary, bits binary")
-    both = shared.select("part", "bucket", F.lit(True).alias("names"), F.lit(None).cast("binary").alias(
-        "at"), "bits").unionByName(verdicts.select(
-            "part", F.lit(None).cast("int").alias("bucket"), F.lit(False).alias("names"), "at", "bits"))
+    both = shared.select(
+        "part", "bucket", F.lit(True).alias("names"), F.lit(None).cast("binary").alias("at"), "bits",
+        "hot",
+    ).unionByName(verdicts.select(
+        "part", F.lit(None).cast("int").alias("bucket"), F.lit(False).alias("names"), "at", "bits",
+        F.lit(None).cast("binary").alias("hot"),
+    ))
     back = "int" if kind == pa.int32() else "bigint"
     return dealt.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(
         _remove(splitters, kind),

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from laurel.llm import suffixes as sx
@@ -29,8 +31,8 @@ def brute(rows, length=50):
     return sorted(out, key=str)
 
 
-def run(spark, documents, rows):
-    got = sx.remove_repeats(documents(rows)).collect()
+def run(spark, documents, rows, hot=sx.HOT):
+    got = sx.remove_repeats(documents(rows), hot).collect()
     for r in got:
         assert sum(s.end - s.start for s in r.spans) == r.n_bytes - len(r.kept)
     return sorted(((-1 if r.doc_id is None else r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept))
@@ -39,8 +41,8 @@ def run(spark, documents, rows):
 
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, documents, seed, monkeypatch):
+@pytest.mark.parametrize("seed,hot", [(1, sx.HOT), (2, sx.HOT), (3, 0), (4, 2)])
+def test_against_brute_force(spark, documents, seed, hot, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(sx, "CHUNK_BYTES", 700)
     rng = random.Random(seed)
@@ -56,8 +58,10 @@ def test_against_brute_force(spark, documents, seed, monkeypatch):
         rows.append((100 + i, t))
     rows += [(7, base[3]), (500, "a" * 3000), (501, "a" * 51), (499, "ab" * 300), (502, None),
              (None, base[5]), (None, base[5]), (503, ""), (504, "é" * 400), (505, "é" * 30)]
+    # many rows without an id, which repeat others
+    rows += [(None, rng.choice(base)[:200] + make(3)) for _ in range(30)]
     rng.shuffle(rows)
-    assert run(spark, documents, rows) == brute(rows)
+    assert run(spark, documents, rows, hot) == brute(rows)
 
 
 def test_corpus(spark, documents, corpus):
@@ -84,3 +88,38 @@ def test_edges(spark, documents):
     extra = documents([(1, "x" * 80), (1, "x" * 80), (2, "x" * 80)]).selectExpr("*", "1 AS part", "2 AS kept")
     got = sorted((r.doc_id, len(r.kept)) for r in sx.remove_repeats(extra).collect())
     assert got == [(1, 80), (1, 80), (2, 0)]
+
+
+def test_a_phrase_in_every_document_is_spread(spark, documents):
+    rng = random.Random(1)
+    other = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    phrase = "the phrase that every document has in it "
+    rows = [(i, f"{other(60)}{phrase}{other(60)}") for i in range(700)]
+    rows += [(700 + i, other(9) + rows[i][1][30:]) for i in range(0, 700, 9)]
+    shares = []
+    for hot in (10**9, 50):
+        got = pieces(rows, hot)
+        shares.append(max(got.values()) / sum(got.values()))
+    assert shares[0] > 3 * shares[1] and shares[1] < 0.1, shares
+    assert run(spark, documents, rows, 50) == brute(rows)
+
+
+def pieces(rows, hot):
+    """Rows that each bucket gets, of the steps as the operator takes them in one process."""
+    table = lambda part: pa.table({"doc_id": pa.array([r[0] for r in part], pa.int64()),
+                                   "text": [r[1] for r in part]})
+    parts = [rows[i::8] for i in range(8)]
+    texts = np.sort(np.array([sx.symbols(np.frombuffer(t.encode(), np.uint8), np.array([0]), 1)[0, 0]
+                              for _, t in rows], np.uint64))
+    splitters = texts[:: len(texts) // 15]
+    key = lambda i: (pa.scalar(i, pa.int32()),)
+    named = pa.concat_tables([sx._name_anchors(splitters)(key(i), table(p)) for i, p in enumerate(parts)])
+    by = lambda t, c, v: t.filter(pa.compute.equal(t.column(c), v))
+    buckets = sorted(set(named.column("bucket").to_pylist()))
+    shared = pa.concat_tables([sx._shared_names(hot)(key(b), by(named, "bucket", b)) for b in buckets])
+    got = {}
+    for i, p in enumerate(parts):
+        sent = sx._send(splitters)(key(i), table(p), by(shared, "part", i))
+        for b, n in zip(sent.column("bucket").to_pylist(), sent.column("n").to_pylist()):
+            got[b] = got.get(b, 0) + n
+    return got
