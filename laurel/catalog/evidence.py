@@ -303,14 +303,15 @@ def find_production_debuggers(spark, sf):
     ), 4)
 
 
-@query("evidence_for", f"{_GRAPH} SELECT developer_id, skill_name, artifact_id FROM work WHERE developer_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND skill_name = 'rust'")
+@query("evidence_for", f"{_GRAPH} SELECT developer_id, skill_name, artifact_id FROM work WHERE developer_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def evidence_for(spark, sf):
-    pairs = t.load(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(
-        F.col("c_custkey").alias("developer_id"), F.lit("rust").alias("skill_name")
-    )
-    return graph.evidence_for(evidence_graph(spark, sf), pairs).select(
-        "developer_id", "skill_name", "artifact_id"
+    """The work behind every skill of some developers."""
+    g = evidence_graph(spark, sf)
+    who = t.load(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(
+        F.col("c_custkey").alias("developer_id")
     )
+    pairs = g.edges.select("developer_id", "skill_name").join(who, "developer_id", "left_semi")
+    return graph.evidence_for(g, pairs).select("developer_id", "skill_name", "artifact_id")
 
 
 @query("all_evidence", f"{_GRAPH} SELECT artifact_id, developer_id, (SELECT string_agg(skill_name, ',' ORDER BY skill_name) FROM demonstrates d WHERE d.artifact_id = a.artifact_id) AS skills FROM artifacts a")
@@ -320,27 +321,37 @@ def all_evidence(spark, sf):
 
 
 @query("developer_subgraph", f"""{_GRAPH}, who AS (SELECT c_custkey AS developer_id FROM customer WHERE c_mktsegment = 'BUILDING')
-SELECT developer_id, 'skill' AS node, skill_name AS name, round(confidence, 6) AS weight FROM edges WHERE developer_id IN (FROM who)
-UNION ALL SELECT developer_id, 'artifact', CAST(artifact_id AS VARCHAR), complexity::DOUBLE FROM artifacts WHERE developer_id IN (FROM who)""")
+SELECT developer_id, 'developer' AS node, github_username AS name, NULL::DOUBLE AS weight, 0 AS position FROM developers WHERE developer_id IN (FROM who)
+UNION ALL SELECT developer_id, 'skill', skill_name, round(confidence, 6), row_number() OVER (PARTITION BY developer_id ORDER BY floor(confidence * 1e9 + 0.5) DESC, skill_name) - 1 FROM edges WHERE developer_id IN (FROM who)
+UNION ALL SELECT developer_id, 'artifact', CAST(artifact_id AS VARCHAR), complexity::DOUBLE, row_number() OVER (PARTITION BY developer_id ORDER BY artifact_date DESC NULLS LAST, artifact_id) - 1 FROM artifacts WHERE developer_id IN (FROM who)""")
 def developer_subgraph(spark, sf):
+    """Record, skills by confidence and artifacts from the newest of some developers."""
     who = t.load(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("developer_id")
     )
-    skills, arts = graph.developer_subgraph(evidence_graph(spark, sf), who)
-    return rounded(skills.select(
-        "developer_id", F.lit("skill").alias("node"), F.col("skill_name").alias("name"),
-        F.col("confidence").alias("weight"),
-    ).unionByName(arts.select(
-        "developer_id", F.lit("artifact").alias("node"),
-        F.col("artifact_id").cast("string").alias("name"),
-        F.col("complexity").cast("double").alias("weight"),
-    )))
-
-
-@query("skill_confidence_lookup", f"""{_GRAPH} SELECT c_custkey AS developer_id, 'rust' AS skill_name, round(confidence, 6) AS confidence FROM customer LEFT JOIN edges ON developer_id = c_custkey AND skill_name = 'rust'""")
+    people, skills, arts = graph.developer_subgraph(evidence_graph(spark, sf), who)
+
+    def nodes(rows, kind, name, weight, position):
+        return rows.select(
+            "developer_id", F.lit(kind).alias("node"), name.cast("string").alias("name"),
+            weight.cast("double").alias("weight"), position.cast("bigint").alias("position"),
+        )
+
+    c = F.col
+    return rounded(
+        nodes(people, "developer", c("github_username"), F.lit(None), F.lit(0))
+        .unionByName(nodes(skills, "skill", c("skill_name"), c("confidence"), c("position")))
+        .unionByName(nodes(arts, "artifact", c("artifact_id"), c("complexity"), c("position")))
+    )
+
+
+@query("skill_confidence_lookup", f"""{_GRAPH}, asked AS (SELECT c_custkey AS developer_id, unnest({t._sql_list(t.EVIDENCE_SKILLS)}) AS skill_name FROM customer)
+SELECT a.developer_id, a.skill_name, round(confidence, 6) AS confidence FROM asked a LEFT JOIN edges e ON e.developer_id = a.developer_id AND e.skill_name = a.skill_name""")
 def skill_confidence_lookup(spark, sf):
+    """Every developer asked for every skill; null where there is no edge."""
     pairs = t.load(spark, sf, "customer").select(
-        F.col("c_custkey").alias("developer_id"), F.lit("rust").alias("skill_name")
+        F.col("c_custkey").alias("developer_id"),
+        F.explode(F.array(*map(F.lit, t.EVIDENCE_SKILLS))).alias("skill_name"),
     )
     return rounded(graph.skill_confidence(evidence_graph(spark, sf), pairs))
 
@@ -383,26 +394,50 @@ def query_intents(spark, sf):
     ))
 
 
-_STRUCT = f"""{_GRAPH}, {_Q}, {_DEBUG}, {_BY_SKILL.format(floor='0.0')},
-half AS (SELECT *, row_number() OVER (PARTITION BY skill_name ORDER BY c DESC, evidence_count DESC, developer_id) AS rank FROM (SELECT *, round(confidence, 4) AS c FROM edges) WHERE confidence >= 0.5),
-wanted AS (SELECT query_id, require_production OR min_complexity >= 4 AS strict, unnest(range(len(skill_names))) AS skill_at, unnest(skill_names) AS skill_name FROM intents),
-hits AS (
-  SELECT skill_name, developer_id, c, evidence_count, rank, TRUE AS strict, 'd' AS kind FROM debuggers WHERE rank <= 10
-  UNION ALL SELECT skill_name, developer_id, c, evidence_count, rank, TRUE, 'b' FROM by_skill WHERE rank <= 10 AND skill_name NOT IN (SELECT skill_name FROM debuggers)
-  UNION ALL SELECT skill_name, developer_id, c, evidence_count, rank, FALSE, 'b' FROM half WHERE rank <= 10),
-shown AS (SELECT h.*, CASE WHEN kind = 'd' THEN (SELECT list(artifact_id ORDER BY complexity DESC, artifact_id)[1:3] FROM hard w WHERE w.skill_name = h.skill_name AND w.developer_id = h.developer_id)
-  ELSE (SELECT list(artifact_id {_NEWEST})[1:3] FROM work w WHERE w.skill_name = h.skill_name AND w.developer_id = h.developer_id) END AS evidence FROM hits h),
-merged AS (SELECT query_id, developer_id, list((c, evidence_count, evidence) ORDER BY c DESC, skill_at)[1] AS r, list((skill_at, rank) ORDER BY skill_at, rank)[1] AS seen
-  FROM wanted JOIN shown USING (skill_name, strict) GROUP BY ALL),
-structured AS (SELECT query_id, developer_id, r[1] AS confidence, r[2] AS evidence_count, r[3] AS evidence, row_number() OVER (PARTITION BY query_id ORDER BY seen[1], seen[2]) - 1 AS rank FROM merged)"""
+def _struct(intents: str) -> str:
+    """Structured hits of a table of intents (query_id, skill_names, min_confidence, min_complexity,
+    require_production, lim)."""
+    return f"""asks AS (SELECT query_id, lim, min_confidence, greatest(min_complexity, 4) AS hardness, require_production OR min_complexity >= 4 AS strict,
+  unnest(range(len(skill_names))) AS skill_at, unnest(skill_names) AS skill_name FROM {intents}),
+deb AS (SELECT *, row_number() OVER (PARTITION BY query_id, skill_at ORDER BY evidence_count DESC, c DESC, developer_id) AS rank FROM (
+  SELECT h.*, round(coalesce(e.confidence, 0), 4) AS c FROM (
+    SELECT a.query_id, a.skill_at, a.lim, w.skill_name, w.developer_id, count(*) AS evidence_count, list(artifact_id ORDER BY complexity DESC, artifact_id)[1:3] AS evidence
+    FROM asks a JOIN work w ON a.strict AND w.skill_name = a.skill_name AND source_type IN ('commit_diff','pr_review','issue_thread') AND complexity >= hardness
+    GROUP BY a.query_id, a.skill_at, a.lim, w.skill_name, w.developer_id HAVING count(*) >= 2) h LEFT JOIN edges e USING (skill_name, developer_id))),
+loose AS (SELECT *, CASE WHEN strict THEN 0 ELSE min_confidence END AS least FROM asks a WHERE NOT strict OR NOT EXISTS (SELECT 1 FROM deb d WHERE d.query_id = a.query_id AND d.skill_at = a.skill_at)),
+bys AS (SELECT l.query_id, l.skill_at, l.lim, e.skill_name, e.developer_id, c, evidence_count, row_number() OVER (PARTITION BY l.query_id, l.skill_at ORDER BY c DESC, evidence_count DESC, e.developer_id) AS rank
+  FROM loose l JOIN (SELECT *, round(confidence, 4) AS c FROM edges) e ON e.skill_name = l.skill_name AND e.confidence >= least),
+shown AS (SELECT query_id, skill_at, developer_id, c, evidence_count, rank, evidence FROM deb WHERE rank <= lim
+  UNION ALL SELECT query_id, skill_at, developer_id, c, evidence_count, rank, (SELECT list(artifact_id {_NEWEST})[1:3] FROM work w WHERE w.skill_name = b.skill_name AND w.developer_id = b.developer_id) FROM bys b WHERE rank <= lim),
+merged AS (SELECT query_id, developer_id, list((c, evidence_count, evidence) ORDER BY c DESC, skill_at)[1] AS r, list((skill_at, rank) ORDER BY skill_at, rank)[1] AS seen FROM shown GROUP BY ALL),
+structured AS (SELECT query_id, m.developer_id, r[1] AS confidence, r[2] AS evidence_count, r[3] AS evidence, row_number() OVER (PARTITION BY query_id ORDER BY seen[1], seen[2]) - 1 AS rank,
+  github_username, display_name, query_id IN (SELECT query_id FROM loose WHERE strict) AS relaxed FROM merged m LEFT JOIN developers d ON d.developer_id = m.developer_id)"""
 
 
-@query("structured_search", f"{_STRUCT} SELECT query_id, developer_id, confidence, evidence_count, array_to_string(evidence, ',') AS evidence, rank::INTEGER AS rank FROM structured")
+_STRUCT = f"{_GRAPH}, {_Q}, asked AS (SELECT *, 0.5::DOUBLE AS min_confidence, 10 AS lim FROM intents), {_struct('asked')}"
+_STRUCT_COLUMNS = "query_id, developer_id, confidence, evidence_count, array_to_string(evidence, ',') AS evidence, rank::INTEGER AS rank, github_username, display_name, relaxed"
+
+
+@query("structured_search", f"{_STRUCT} SELECT {_STRUCT_COLUMNS} FROM structured")
 def structured_search(spark, sf):
     intents = graph.query_intent(t.search_queries(spark, sf))
     return rounded(graph.structured_rows(evidence_graph(spark, sf), intents))
 
 
+@query("structured_search_by_intent", f"""{_GRAPH}, {_Q}, asked AS (SELECT query_id, skill_names, require_production, [0.5, 0.8, 0.2][query_id % 3 + 1]::DOUBLE AS min_confidence,
+  CASE WHEN query_id % 4 = 0 THEN 5 ELSE min_complexity END AS min_complexity, [10, 3, 5][query_id % 3 + 1] AS lim FROM intents), {_struct('asked')}
+SELECT {_STRUCT_COLUMNS} FROM structured""")
+def structured_search_by_intent(spark, sf):
+    """Intents that differ in confidence, complexity and number of answers."""
+    n = F.col("query_id")
+    intents = graph.query_intent(t.search_queries(spark, sf)).withColumns({
+        "min_confidence": t.pick((0.5, 0.8, 0.2), n % 3),
+        "min_complexity": F.when(n % 4 == 0, F.lit(5)).otherwise(F.col("min_complexity")),
+        "limit": t.pick((10, 3, 5), n % 3),
+    })
+    return rounded(graph.structured_rows(evidence_graph(spark, sf), intents))
+
+
 def _cells(table: str, id_col: str) -> str:
     return f"""(SELECT {id_col}, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {id_col})) AS x FROM (
       SELECT {id_col}, h % 384 AS bucket, sum(CASE WHEN (h >> 20) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v
@@ -425,17 +460,17 @@ def semantic_hits(spark, sf):
     return rounded(hits.select("query_id", "artifact_id", "score", F.col("at").alias("pos")))
 
 
-_SEMANTIC = """semantic AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score DESC, first_pos) - 1 AS rank FROM (
-  SELECT query_id, developer_id, round(max(score), 4) AS semantic_score, min(pos) AS first_pos, list(artifact_id ORDER BY pos)[1:3] AS evidence FROM found GROUP BY ALL))"""
+_SEMANTIC = """semantic AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, evidence[1]) - 1 AS rank FROM (
+  SELECT query_id, developer_id, round(max(score), 4) AS semantic_score, max(score) AS best, list(artifact_id ORDER BY score DESC, artifact_id)[1:3] AS evidence FROM near GROUP BY ALL) QUALIFY rank < 50)"""
 
 
 @query("semantic_developers", f"WITH {t.evidence_sql()}, {_Q}, {_SEM}, {_SEMANTIC} SELECT query_id, developer_id, semantic_score, array_to_string(evidence, ',') AS evidence, rank::INTEGER AS rank FROM semantic")
 def semantic_developers(spark, sf):
+    """The fifty developers nearest to each text, whoever has how many near artifacts."""
     g = evidence_graph(spark, sf)
-    hits = graph.evidence_hits(
+    return rounded(graph.semantic_rows(
         graph.all_evidence(g), t.search_queries(spark, sf), 50, code="md5"
-    )
-    return rounded(graph.semantic_rows(hits))
+    ))
 
 
 _HYBRID = f"""{_STRUCT}, {_SEM}, {_SEMANTIC},
@@ -443,13 +478,15 @@ lists AS (SELECT query_id, developer_id, rank, 0 AS src FROM structured UNION AL
 fused AS (SELECT query_id, developer_id, sum(1.0::DOUBLE / (61 + rank)) AS rrf, list((src, rank) ORDER BY src, rank)[1] AS seen FROM lists GROUP BY ALL),
 joined AS (SELECT query_id, developer_id, coalesce(s.confidence, 0) AS confidence, coalesce(v.semantic_score, 0) AS semantic_score,
     CASE WHEN len(s.evidence) > 0 THEN s.evidence ELSE coalesce(v.evidence, []) END AS shown, s.evidence_count AS n,
-    CASE WHEN s.confidence IS NOT NULL AND v.semantic_score IS NOT NULL THEN 'both' WHEN s.confidence IS NOT NULL THEN 'skill' ELSE 'semantic' END AS match_via, rrf, seen
+    CASE WHEN s.confidence IS NOT NULL AND v.semantic_score IS NOT NULL THEN 'both' WHEN s.confidence IS NOT NULL THEN 'skill' ELSE 'semantic' END AS match_via, rrf, seen,
+    github_username, display_name, (SELECT count(*) FROM structured x WHERE x.query_id = fused.query_id) AS skill_hits, (SELECT count(*) FROM semantic x WHERE x.query_id = fused.query_id) AS semantic_hits,
+    coalesce((SELECT bool_or(relaxed) FROM structured x WHERE x.query_id = fused.query_id), FALSE) AS relaxed
   FROM fused LEFT JOIN structured s USING (query_id, developer_id) LEFT JOIN semantic v USING (query_id, developer_id)),
 results AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(rrf * 1e12) DESC, seen[1], seen[2]) AS rank FROM joined)"""
 
 
 @query("evidence_search", f"""{_HYBRID} SELECT query_id, developer_id, confidence, semantic_score, coalesce(n, len(shown))::BIGINT AS evidence_count, array_to_string(shown[1:3], ',') AS evidence,
-  match_via, round(rrf, 5) AS rrf_score, rank::INTEGER AS rank FROM results WHERE rank <= 10""")
+  match_via, round(rrf, 5) AS rrf_score, rank::INTEGER AS rank, github_username, display_name, skill_hits, semantic_hits, relaxed FROM results WHERE rank <= 10""")
 def evidence_search(spark, sf):
     return rounded(graph.search(
         evidence_graph(spark, sf), t.search_queries(spark, sf), code="md5"

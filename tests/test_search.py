@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from laurel.operators import graph, metrics
+from laurel.operators import graph, metrics, retrieval
 
 NOW = dt.datetime(2026, 1, 1)
 WORK = {
@@ -90,3 +91,82 @@ def test_strict_query_relaxes_when_nothing_is_hard(spark, small):
     df = spark.createDataFrame([(1, "shipped rust to users")], "query_id int, text string")
     rows = graph.structured_rows(easy, graph.query_intent(df)).collect()
     assert [r["developer_id"] for r in rows] == ["dev_lockfree"]
+
+
+def one_busy_developer(spark):
+    """67 near artifacts of one developer, a little less near ones of three others."""
+    arts = [(i, "busy", "commit_diff", 2, NOW, True, f"streaming telemetry events part {i % 3}") for i in range(67)]
+    arts += [(100 + 10 * d + i, f"other{d}", "commit_diff", 2, NOW, True,
+              f"streaming telemetry and {' '.join(['billing'] * (1 + i + d))}") for d in range(3) for i in range(5)]
+    return spark.createDataFrame(arts, "artifact_id long, developer_id string, source_type string, complexity int, artifact_date timestamp, production_signal boolean, summary string")
+
+
+def test_a_busy_developer_hides_nobody(spark):
+    arts = one_busy_developer(spark).withColumn("skills", F.array().cast("array<string>"))
+    ask = spark.createDataFrame([(1, "streaming telemetry events"), (2, "billing")], "query_id int, text string")
+    got = graph.semantic_rows(arts.repartition(5), ask, developers=3).collect()
+    first = {r["rank"]: r for r in got if r["query_id"] == 1}
+    assert first[0]["developer_id"] == "busy" and len(first) == 3
+    assert all(len(r["evidence"]) == 3 for r in got)
+    # against all pairs
+    pairs = retrieval.hashed_cosine(
+        arts.withColumn("_doc", graph.evidence_text()), ask, "artifact_id", "_doc", "query_id", "text",
+        keep=("developer_id",)).collect()
+    for query in (1, 2):
+        best = {}
+        for r in sorted((p for p in pairs if p["query_id"] == query),
+                        key=lambda p: (-round(p["score"], 9), p["artifact_id"])):
+            best.setdefault(r["developer_id"], []).append((-round(r["score"], 9), r["artifact_id"]))
+        order = sorted(best, key=lambda d: best[d][0])[:3]
+        mine = {r["rank"]: r for r in got if r["query_id"] == query}
+        assert [mine[i]["developer_id"] for i in range(3)] == order
+        assert all(mine[i]["evidence"] == [a for _, a in best[d][:3]] for i, d in enumerate(order))
+
+
+def test_query_blocks_give_the_same_answer(spark, small, queries, monkeypatch):
+    key = lambda rows: sorted(map(str, rows.collect()))
+    whole = key(graph.search(small, queries))
+    monkeypatch.setattr(retrieval, "SHIPPED", 2)
+    assert key(graph.search(small, queries)) == whole
+
+
+def intent(spark, **changed):
+    row = {"query_id": 1, "skill_names": ["rust"], "min_confidence": 0.5, "min_complexity": 1,
+           "require_production": False, "limit": 10, **changed}
+    return spark.createDataFrame([row], "query_id int, skill_names array<string>, min_confidence double, "
+                                 "min_complexity int, require_production boolean, limit int")
+
+
+def test_the_intents_own_bounds_hold(spark, small):
+    trusted = graph.EvidenceGraph(small.developers, small.artifacts, small.demonstrates, spark.createDataFrame(
+        [("dev_lockfree", "rust", 0.7, 2, NOW), ("dev_tables", "rust", 0.9, 1, NOW), ("dev_stream", "rust", 0.8, 1, NOW)],
+        "developer_id string, skill_name string, confidence double, evidence_count long, last_seen timestamp"))
+    found = lambda **x: [r["developer_id"] for r in sorted(
+        graph.structured_rows(trusted, intent(spark, **x)).collect(), key=lambda r: r["rank"])]
+    assert found() == ["dev_tables", "dev_stream", "dev_lockfree"]
+    assert found(min_confidence=0.8) == ["dev_tables", "dev_stream"]
+    assert found(limit=1) == ["dev_tables"]
+    assert found(require_production=True) == ["dev_lockfree"]
+    # nothing as hard as that: anybody with the skill
+    assert found(min_complexity=5) == ["dev_tables", "dev_stream", "dev_lockfree"]
+
+
+def test_answers_tell_names_hits_and_relaxation(spark, small):
+    named = graph.EvidenceGraph(
+        small.developers.withColumn("display_name", F.upper("developer_id")), small.artifacts,
+        small.demonstrates, small.edges)
+    ask = spark.createDataFrame([(1, "rust")], "query_id int, text string")
+    rows = graph.search(named, ask, intents=intent(spark, min_complexity=5, limit=2)).collect()
+    assert len(rows) == 2 and all(r["relaxed"] for r in rows)
+    assert {(r["skill_hits"], r["semantic_hits"]) for r in rows} == {(1, 4)}
+    best = min(rows, key=lambda r: r["rank"])
+    assert (best["developer_id"], best["display_name"]) == ("dev_lockfree", "DEV_LOCKFREE")
+    assert best["github_username"] == "dev_lockfree"
+
+
+def test_subgraph_order(spark, small):
+    who = spark.createDataFrame([("dev_lockfree",), ("nobody",)], "developer_id string")
+    people, skills, arts = graph.developer_subgraph(small, who)
+    assert [r["developer_id"] for r in people.collect()] == ["dev_lockfree"]
+    assert [(r["skill_name"], r["position"]) for r in skills.collect()] == [("rust", 0)]
+    assert sorted((r["position"], r["artifact_id"]) for r in arts.collect()) == [(0, 4), (1, 5)]
