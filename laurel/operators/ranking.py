@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from laurel.session import cut_lineage
 # Scores are compared in billionths, so that equal texts tie whatever the order in which
 # their terms were added up; the id then decides.
 SCORE_UNITS = 1e9
+#: buckets that a range of values is cut into when a quantile is looked for
+BUCKETS = 1024
 
 
 def score_key(score: Column) -> Column:
@@ -63,30 +66,60 @@ def rank_positions(
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
-    """(probability, value) with linear interpolation between neighbours; nulls do not count.
+    """(probability, value) with linear interpolation between neighbours; nulls and NaN do not count.
 
-    The order statistics are picked from the distributed rank: at most two rows per
-    probability reach the last step.
+    No row moves: a pass counts the rows per bucket of the ranges that hold a wanted rank, and each
+    range shrinks to one bucket of itself, until a bucket holds one value. The driver sees at most
+    ``BUCKETS`` rows per wanted rank and pass, of which doubles need a handful. ``df`` is read once per
+    pass and should be stored.
     """
-    known = df.select(column).filter(F.col(column).isNotNull())
-    # equal values are split over partitions by a number of their own
-    ranked = global_rank(
-        known.withColumn("_tie", F.monotonically_increasing_id()), [F.col(column), F.col("_tie")]
-    )
-    n = ranked.agg(F.count(F.lit(1)).alias("n"))
-    wanted = n.select(
-        "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
-    ).withColumn("at", F.col("p") * (F.col("n") - 1))
-    ends = wanted.filter("n > 0").select(
-        "p", (F.col("at") - F.floor("at")).alias("part"),
-        F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank"),
-    )
-    # the same rank twice (a whole position) joins twice, which leaves min = max
-    found = ranked.join(F.broadcast(ends), "rank")
-    lo, hi = F.min(column), F.max(column)
-    return found.groupBy("p").agg(
-        (lo + (hi - lo) * F.first("part")).alias("value")
-    ).withColumnRenamed("p", "probability")
+    spark = df.sparkSession
+    known = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    schema = "probability double, value double"
+    if not total.n:
+        return spark.createDataFrame([], schema)
+    spots = {float(p): p * (total.n - 1) for p in probabilities}
+    ranks = sorted({int(f(at)) for at in spots.values() for f in (math.floor, math.ceil)})
+    # per wanted rank: the range that holds it, and how many rows lie before that range
+    where = {r: (total.lo, total.hi, 0) for r in ranks}
+    while True:
+        open_ = sorted({w[:2] for w in where.values() if w[0] < w[1]})
+        if not open_:
+            break
+        cells = _cells(known, open_)
+        for rank, (lo, hi, before) in where.items():
+            if lo < hi:
+                for cell in cells[lo, hi]:
+                    if rank < before + cell.n:
+                        where[rank] = (cell.lo, cell.hi, before)
+                        break
+                    before += cell.n
+    values = []
+    for p, at in spots.items():
+        lo, hi = where[math.floor(at)][0], where[math.ceil(at)][0]
+        values.append((p, float(lo + (hi - lo) * (at - math.floor(at)))))
+    return spark.createDataFrame(values, schema)
+
+
+def _cells(known: DataFrame, ranges: Sequence[tuple[float, float]]) -> dict:
+    """(range) to its non-empty buckets in order: number of rows, least and largest value."""
+    x = F.col("x")
+    which = bucket = None
+    for i, (lo, hi) in enumerate(ranges):
+        inside = x.between(lo, hi)
+        share = (x / F.lit(hi - lo) - F.lit(lo / (hi - lo))) if math.isfinite(hi - lo) else F.lit(0.5) + (
+            x / F.lit(hi) - F.lit(lo / hi)) / 2
+        at = F.least(F.greatest(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))
+        which = F.when(inside, F.lit(i)) if which is None else which.when(inside, F.lit(i))
+        bucket = F.when(inside, at) if bucket is None else bucket.when(inside, at)
+    rows = known.select("x", which.alias("i"), bucket.alias("b")).filter("i IS NOT NULL").groupBy(
+        "i", "b"
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    out: dict = {r: [] for r in ranges}
+    for row in sorted(rows, key=lambda r: r.lo):
+        out[ranges[row.i]].append(row)
+    return out
 
 
 def minmax(
