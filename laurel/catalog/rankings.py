@@ -160,11 +160,13 @@ def final(spark, sf):
 
 
 _JOBS = f"jobs AS (SELECT r_regionkey::BIGINT AS jd_id, {t._sql_list(t.JOB_TEXTS)}[r_regionkey % 5 + 1] AS text FROM region)"
-_PROFILE_TEXT = """profile AS (SELECT candidate_id, trim(concat_ws(' ', current_title || ' | profile', summary, current_title, 'Internet',
+def _profile_text(pool: str = "person") -> str:
+    """Texts of the candidates in ``pool``."""
+    return f"""profile AS (SELECT candidate_id, trim(concat_ws(' ', current_title || ' | profile', summary, current_title, 'Internet',
     (SELECT string_agg(title || ' ' || description, ' ' ORDER BY ln) FROM roles r WHERE r.k = p.k),
     (SELECT string_agg(name, ' ' ORDER BY part, s) FROM skills s WHERE s.k = p.k))) AS text,
   trim(concat_ws(' ', current_title, current_title || ' | profile', (SELECT arg_min(title || ' ' || description, ln) FROM roles r WHERE r.k = p.k),
-    (SELECT array_to_string(list(name ORDER BY endorsements DESC, part, s), ' ') FROM skills s WHERE s.k = p.k))) AS rerank_text FROM person p)"""
+    (SELECT array_to_string(list(name ORDER BY endorsements DESC, part, s), ' ') FROM skills s WHERE s.k = p.k))) AS rerank_text FROM {pool} p)"""
 
 
 def _cells(table: str, id_col: str) -> str:
@@ -173,7 +175,9 @@ def _cells(table: str, id_col: str) -> str:
       FROM (SELECT {id_col}, {CODE} AS h FROM (SELECT {id_col}, unnest({TOK}) AS tok FROM {table})) GROUP BY ALL) WHERE v <> 0)"""
 
 
-_RETRIEVAL = f""", {_JOBS}, {_PROFILE_TEXT},
+def _retrieval_sql(pool: str = "person") -> str:
+    """Fused retrieval scores of the candidates in ``pool`` among each other."""
+    return f""", {_JOBS}, {_profile_text(pool)},
 pdocs AS (SELECT candidate_id, {TOK} AS toks FROM profile),
 pstats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM pdocs),
 ptf AS (SELECT candidate_id, len(toks) AS dl, tok, count(*) AS tf FROM (SELECT candidate_id, toks, unnest(toks) AS tok FROM pdocs) GROUP BY ALL),
@@ -188,6 +192,9 @@ pranked AS (
 pcredits AS (SELECT jd_id, candidate_id, sum(coalesce(credit, 0)) AS credit FROM (SELECT jd_id, candidate_id FROM jobs CROSS JOIN profile) LEFT JOIN pranked USING (jd_id, candidate_id) GROUP BY ALL),
 retr AS MATERIALIZED (SELECT jd_id, candidate_id, (credit - min(credit) OVER w) / (max(credit) OVER w - min(credit) OVER w) AS retrieval_score FROM pcredits WINDOW w AS (PARTITION BY jd_id))"""
 
+
+_RETRIEVAL = _retrieval_sql()
+
 _SCORED = S.LABELLED.replace("labelled AS (", "labelled AS MATERIALIZED (") + _RETRIEVAL + """,
 scored AS (SELECT l.*, jd_id, retrieval_score FROM labelled l JOIN retr USING (candidate_id)),
 head AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY floor((0.6::DOUBLE * proxy_label + 0.4::DOUBLE * retrieval_score) * 1e9 + 0.5) DESC, candidate_id) AS head_rank
@@ -486,6 +493,57 @@ def _requested(spark, sf):
     ).distinct()
 
 
+_SUBSET_IDS = "SELECT user_id * 101 FROM events"
+_LEAN = f"""scored AS (SELECT l.*, jd_id, retrieval_score FROM labelled l JOIN retr USING (candidate_id)),
+final AS MATERIALIZED (SELECT s.*, CASE WHEN gate_passed AND is_honeypot <> 1 THEN {S.clip(f'{_CORE} * {_SHOWN}')} ELSE 0 END AS final_score FROM scored s),
+top AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY {_key('final_score')} DESC, candidate_id) AS rank FROM final WHERE is_honeypot <> 1)
+{_FMT}, output AS (SELECT jd_id, candidate_id, row_number() OVER (PARTITION BY jd_id ORDER BY round_even(final_score, 4) DESC, candidate_id)::INTEGER AS rank,
+  round_even(final_score, 4) AS score, reasoning FROM explained)
+SELECT jd_id, candidate_id, rank, score, reasoning FROM output"""
+_POOL = f"pool AS (SELECT * FROM gated WHERE candidate_id IN (SELECT 'CAND_' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') FROM orders WHERE o_orderkey IN ({_SUBSET_IDS})))"
+
+
+def _subset(spark, sf) -> build.Answer:
+    return build.rank_subset(
+        matrix(spark, sf), _requested(spark, sf), jobs(spark, sf), retrieval(spark, sf)
+    )
+
+
+@query("ranked_subset", f"{S.GATED}, {_POOL}{S.labels('pool')}{_RETRIEVAL}, {_LEAN}")
+def ranked_subset(spark, sf):
+    """The requested candidates alone, by their retrieval scores in the full pool."""
+    return _subset(spark, sf).rows
+
+
+@query("ranked_subset_gates", f"""{S.GATED}, {_POOL} SELECT count(*) AS total, count(*) FILTER (gate_passed) AS passed,
+  count(*) FILTER (NOT gate_passed) AS excluded, sum(is_honeypot)::BIGINT AS honeypots, sum(keyword_stuffer_flag)::BIGINT AS keyword_stuffers FROM pool""")
+def ranked_subset_gates(spark, sf):
+    return _subset(spark, sf).gates
+
+
+@query("ranked_adhoc", f"{S.GATED}, {_POOL}, asked AS (SELECT * FROM person WHERE candidate_id IN (SELECT candidate_id FROM pool)){S.labels('pool')}{_retrieval_sql('asked')}, {_LEAN}")
+def ranked_adhoc(spark, sf):
+    """The same profiles as if no matrix knew them: features are built, and they are retrieved among
+    themselves."""
+    raw = t.candidates(spark, sf).join(_requested(spark, sf), "candidate_id", "left_semi")
+    return build.rank_adhoc(raw, jobs(spark, sf), as_of=t.CANDIDATE_AS_OF, code="md5").rows
+
+
+@query("graded_sample", f"""{S.LABELLED} SELECT candidate_id, current_title, n_roles FROM (
+  SELECT candidate_id, current_title, row_number() OVER (ORDER BY floor(proxy_label * 1e9 + 0.5) DESC, candidate_id) AS n,
+    (SELECT count(*) FROM roles r WHERE r.k = labelled.k) AS n_roles FROM labelled) WHERE n <= 400""")
+def graded_sample(spark, sf):
+    """Raw profiles of the four hundred highest labels, for an outside judge."""
+    labels = stored(spark, sf, "proxy", lambda: scoring.with_proxy_label(matrix(spark, sf)).select(
+        "candidate_id", "proxy_label"
+    ))
+    raw = sampling.graded_sample(t.candidates(spark, sf), labels, 400)
+    return raw.select(
+        "candidate_id", F.col("profile.current_title").alias("current_title"),
+        F.size("career_history").cast("bigint").alias("n_roles"),
+    )
+
+
 @query("unknown_candidates", "SELECT DISTINCT 'CAND_' || lpad(CAST(user_id * 101 AS VARCHAR), 7, '0') AS candidate_id FROM events WHERE user_id * 101 NOT IN (SELECT o_orderkey FROM orders)")
 def unknown_candidates(spark, sf):
     """Requested ids that force a recomputation."""

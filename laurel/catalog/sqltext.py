@@ -187,13 +187,15 @@ def norm(column: str, source: str) -> str:
     return f"(CASE WHEN {hi} - {lo} < 1e-12 THEN 0 ELSE ({column} - {lo}) / ({hi} - {lo}) END)"
 
 
-_LABELS = f""",
+def labels(source: str = "gated") -> str:
+    """Proxy label, relevance, tier and fit, scaled over the rows of ``source``."""
+    return f""",
 proxied AS (
-  SELECT *, CASE WHEN NOT gate_passed OR is_honeypot = 1 THEN 0.0::DOUBLE ELSE {clip(f'''0.45::DOUBLE * jd_fit_score + 0.2::DOUBLE * {norm('retrieval_skill_count', 'gated')}
-    + 0.15::DOUBLE * {norm('jd_skill_match_count', 'gated')} + 0.1::DOUBLE * product_company_ratio + 0.1::DOUBLE * {clip('behavioural_composite')}''')} END AS proxy_label,
-    CASE WHEN NOT gate_passed OR is_honeypot = 1 THEN 0.0::DOUBLE ELSE {clip(f'''0.34::DOUBLE * jd_fit_score + 0.22::DOUBLE * {norm('retrieval_skill_count', 'gated')}
-    + 0.12::DOUBLE * {norm('assessment_mean_score', 'gated')} + 0.12::DOUBLE * has_production_keywords + 0.1::DOUBLE * product_company_ratio + 0.1::DOUBLE * {clip('behavioural_composite')}''')} END AS relevance
-  FROM gated),
+  SELECT *, CASE WHEN NOT gate_passed OR is_honeypot = 1 THEN 0.0::DOUBLE ELSE {clip(f'''0.45::DOUBLE * jd_fit_score + 0.2::DOUBLE * {norm('retrieval_skill_count', source)}
+    + 0.15::DOUBLE * {norm('jd_skill_match_count', source)} + 0.1::DOUBLE * product_company_ratio + 0.1::DOUBLE * {clip('behavioural_composite')}''')} END AS proxy_label,
+    CASE WHEN NOT gate_passed OR is_honeypot = 1 THEN 0.0::DOUBLE ELSE {clip(f'''0.34::DOUBLE * jd_fit_score + 0.22::DOUBLE * {norm('retrieval_skill_count', source)}
+    + 0.12::DOUBLE * {norm('assessment_mean_score', source)} + 0.12::DOUBLE * has_production_keywords + 0.1::DOUBLE * product_company_ratio + 0.1::DOUBLE * {clip('behavioural_composite')}''')} END AS relevance
+  FROM {source}),
 cuts AS (SELECT quantile_cont(relevance, [0.5, 0.75, 0.9, 0.97, 0.99]) AS q FROM proxied WHERE relevance > 0),
 labelled AS (
   SELECT p.*, CASE WHEN relevance >= q[5] THEN 5 WHEN relevance >= q[4] THEN 4 WHEN relevance >= q[3] THEN 3
@@ -202,4 +204,5 @@ labelled AS (
   FROM proxied p, cuts)
 """
 
-LABELLED = GATED + _LABELS
+
+LABELLED = GATED + labels()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from laurel.operators import explain, scoring
 from laurel.operators.features import DEFAULT_AS_OF, feature_matrix
-from laurel.operators.quality import apply_gates
+from laurel.operators.quality import apply_gates, gate_stats
 from laurel.operators.retrieval import lexical_scores, retrieval_scores
 from laurel.operators.tournament import run_tournament
 from laurel.session import cut_lineage, materialise
@@ -100,6 +100,10 @@ def with_head_scores(scored: DataFrame, heads: DataFrame) -> DataFrame:
     })
 
 
+class RankingError(ValueError):
+    """A ranking was asked for that cannot be given."""
+
+
 class Scored(NamedTuple):
     """``scores``: one row per job and candidate with ``final_score``. ``matrix``: one row
     per candidate with everything else."""
@@ -146,3 +150,54 @@ def explained_top(scored: Scored, k: int = 100) -> DataFrame:
 def rank(scored: Scored, k: int = 100) -> DataFrame:
     """The explained output table of every job."""
     return explain.output_table(explained_top(scored, k), k, "jd_id")
+
+
+class Answer(NamedTuple):
+    """``rows``: the explained top of every job; ``gates``: counts of the gates over the pool;
+    ``coverage``: how far the pool covers what the jobs need, and where widening stopped."""
+
+    rows: DataFrame
+    gates: DataFrame
+    coverage: DataFrame
+
+
+def rank_pool(
+    matrix: DataFrame, jobs: DataFrame, retrieval: DataFrame, k: int = 100, model=None,
+    heads: DataFrame | None = None,
+) -> Answer:
+    """Rank the rows of ``matrix`` and nothing else: the fit is scaled over them. ``retrieval`` may
+    hold scores of a larger pool; rows that it does not know have 0."""
+    fitted = scoring.with_fit(scoring.with_proxy_label(matrix), model)
+    scored = per_job(fitted, jobs, retrieval)
+    if heads is not None:
+        scored = with_head_scores(scored, heads)
+    final = scoring.with_final_score(scored)
+    levels = scoring.coverage_levels(matrix, target=k)
+    return Answer(
+        rank(Scored(final, matrix), k), gate_stats(matrix), scoring.coverage_result(levels)
+    )
+
+
+def rank_subset(
+    matrix: DataFrame, ids: DataFrame, jobs: DataFrame, retrieval: DataFrame, k: int = 100,
+    model=None, heads: DataFrame | None = None,
+) -> Answer:
+    """Rank the candidates named in ``ids`` from a stored matrix. Retrieval scores are those of the
+    full pool; the fit is scaled over the subset. Unknown ids are left out; when none is known there
+    is nothing to rank, which is an error."""
+    pool = matrix.join(ids.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    pool = materialise(pool, "subset")
+    if pool.isEmpty():
+        raise RankingError("none of the requested candidate ids is known")
+    return rank_pool(pool, jobs, retrieval, k, model, heads)
+
+
+def rank_adhoc(
+    candidates: DataFrame, jobs: DataFrame, k: int = 100, as_of: dt.date = DEFAULT_AS_OF,
+    code: str = "crc32", model=None,
+) -> Answer:
+    """Rank profiles that no matrix knows: features, gates and texts are built for them, and they are
+    retrieved among themselves."""
+    scored = build_scored(candidates, jobs, as_of, accuracy=False, code=code, model=model)
+    levels = scoring.coverage_levels(scored.matrix, target=k)
+    return Answer(rank(scored, k), gate_stats(scored.matrix), scoring.coverage_result(levels))
