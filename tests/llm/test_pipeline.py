@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import random
 import re
 
 import corpus_pipeline as cp
 import pytest
+
+from laurel.llm import mixing
+
 from .test_mixing import expected_targets
 from .test_packing import check_packed
 from .test_pii import base
@@ -99,12 +103,32 @@ def test_rows_without_an_id_or_with_a_repeated_one(spark, documents, folder):
     kept = cp.near_dedup(spark, documents(rows), folder)
     assert order((r.doc_id, r.text) for r in kept.collect()) == order(want)
     # the mix takes each of them by its own copies
-    from laurel.llm import mixing
-
-    keyed = cp._keyed(kept, "source").drop("_row")
-    named = {r["_key"]: (r.doc_id, r.text) for r in keyed.collect()}
-    copies = mixing.mix(keyed, keep=("_key",)).collect()
+    named = {r["_key"]: (r.doc_id, r.text) for r in cp._keyed(kept).drop("_row").collect()}
+    copies = mixing.mix(cp._keyed(kept, "source").drop("_row"), keep=("_key",)).collect()
     expected = [named[r["_key"]] for r in copies for _ in range(r.copies)]
     mixed = cp.mix_sources(spark, kept, folder)
     assert order((r.doc_id, r.text) for r in mixed.collect()) == order(expected)
     assert {t for _, t in expected} == {t for _, t in want}
+
+
+def test_rows_equal_but_for_other_columns(spark, documents, folder):
+    text = " ".join(f"w{j * 61 % 503}" for j in range(70))
+    rows = [(1, text, "z"), (1, text, "x"), (1, text, None), (1, text, "y")]
+    for seed in range(4):
+        docs = documents(rows[seed:] + rows[:seed]).repartition(1 + seed)
+        assert [r.source for r in cp.near_dedup(spark, docs, folder).collect()] == [None]
+
+
+def test_copies_of_repeated_rows_are_all_taken(spark, documents, folder):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    rows = [(i, t, "s2") for i, t in enumerate(texts) for _ in range(3)]
+    rows += [(100 + i, t, f"s{i % 2}") for i, t in enumerate(texts)]
+    docs = documents(rows).repartition(5)
+    taken = cp.mix_sources(spark, docs, folder).collect()
+    per_source = mixing.mix(docs).groupBy("source").sum("taken").collect()
+    size = lambda t: len(t.split())
+    for source, want in per_source:
+        assert sum(size(r.text) for r in taken if r.source == source) == want
+    again = cp.mix_sources(spark, documents(rows[::-1]).repartition(3), folder).collect()
+    assert sorted(map(str, again)) == sorted(map(str, taken))
