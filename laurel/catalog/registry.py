@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from laurel.session import materialise, scratch_path
+from laurel.plans.stages import StageStore
+from laurel.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
-_PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -28,24 +27,23 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
-           ) -> DataFrame:
-    """A table that several queries start from, written once per session: the feature
-    matrix and its like are artifacts that rankings read, not something each one repeats."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        _STORED[key] = materialise(build(), name)
-    return _STORED[key]
+def _store(spark: SparkSession) -> StageStore:
+    return StageStore(spark, f"{shared_dir(spark).rstrip('/')}/stages")
 
 
 def stored_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object]) -> str:
-    """The folder of a stored artifact of several tables, built once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _PATHS:
-        path = scratch_path(spark, name)
-        build(path)
-        _PATHS[key] = path
-    return _PATHS[key]
+    """The folder of an artifact of several tables that queries start from, built once for the given
+    tables as they are."""
+    store = _store(spark)
+    return store.folder(name, build, store.listed(sf_dir))
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
+           ) -> DataFrame:
+    """A table that several queries start from: the feature matrix and its like are artifacts that
+    rankings read, not something each one repeats."""
+    store = _store(spark)
+    return store.stage(name, build, store.listed(sf_dir))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
