@@ -59,12 +59,13 @@ def stream_current_status(spark, sf):
     return out.select("user_id", "event_type")
 
 
-@query("stream_first_terminal", "SELECT count(DISTINCT user_id) AS jobs FROM events WHERE event_type IN ('purchase', 'error')")
+@query("stream_first_terminal", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('purchase', 'error')) WHERE n = 1")
 def stream_first_terminal(spark, sf):
-    """A purchase or an error ends a user's job: how many jobs have ended."""
+    """A purchase or an error ends a user's job: the event that ended it."""
     ended = _events(spark, sf).filter("event_type IN ('purchase', 'error')")
-    out = _run(spark, rules.first_terminal(ended, "user_id", "ts"), "terminal")
-    return out.agg(F.count(F.lit(1)).alias("jobs"))
+    first = rules.first_terminal(ended, "user_id", ["ts", "event_id"])
+    out = sinks.latest_updates(_run(spark, first, "terminal", "update"), ["user_id"])
+    return out.select("user_id", "event_type", "event_id")
 
 
 @query("stream_dead_letter_sinks", """SELECT outcome, count(*) AS users FROM (

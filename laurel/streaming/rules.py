@@ -1,60 +1,19 @@
 """Message rules as Structured Streaming transformations.
 
-Each has a batch twin in ``laurel.operators.service``. A stream bounds its micro-batches
-(files or offsets per trigger), so a key holds at most one micro-batch of rows in a task;
-for the replay of a large history use the batch twin, which splits hot keys.
+Each has a batch twin in ``laurel.operators.service``. State is kept per key by built-in aggregates in
+update mode, so that late rows correct what was said before; ``sinks.latest_updates`` reads the last
+word. The rule whose answer depends on the whole order of a key (first sightings) is
+``sinks.first_sightings``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from laurel.operators.service import MAX_ATTEMPTS
 
 
-def drop_repeats(messages: DataFrame, key: str, ts: str, ttl: str = "300 seconds") -> DataFrame:
-    """Built-in form: one message per key until the watermark has passed it by ``ttl``."""
-    return messages.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
-
-
-def first_sightings(
-    messages: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: int = 300,
-    lateness: str = "10 minutes",
-) -> DataFrame:
-    """Exact form: accepted messages only. A repeat within ``ttl`` of the last accepted one
-    is dropped and does not extend the window. State is one timestamp per key, and is
-    forgotten once the watermark is past it."""
-    ttl = pd.Timedelta(seconds=ttl_seconds)
-    rows = messages.select(key, ts, id_col).withWatermark(ts, lateness)
-
-    def accept(
-        group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batch = pd.concat(list(chunks), ignore_index=True).sort_values([ts, id_col])
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        kept = []
-        for i, moment in enumerate(batch[ts]):
-            if last is None or moment >= last + ttl:
-                kept.append(i)
-                last = moment
-        state.update((int(last.value // 1000),))
-        expiry = int((last + ttl).value // 1_000_000)
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield batch.iloc[kept]
-
-    return rows.groupBy(key).applyInPandasWithState(
-        accept, rows.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def quota_windows(
     requests: DataFrame, identity: str, ts: str, per_minute: int = 120,
     lateness: str | None = None,
@@ -89,12 +48,14 @@ def failure_counts(failures: DataFrame, key: str, max_attempts: int = MAX_ATTEMP
     )
 
 
-def first_terminal(events: DataFrame, job: str, ts: str, lateness: str | None = None) -> DataFrame:
-    """Terminal events with repeats of a job dropped: a finished job stays finished. With a
-    ``lateness`` a job is forgotten after that time."""
-    if lateness is None:
-        return events.dropDuplicates([job])
-    return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([job])
+def first_terminal(events: DataFrame, job: str, order: list[str]) -> DataFrame:
+    """The earliest of each job's terminal events, as they change (update mode): a late event that
+    lies before the one known so far takes its place. State is one event per job, and the rows of a
+    micro-batch are folded before they are shuffled."""
+    others = [n for n in events.columns if n != job]
+    return events.groupBy(job).agg(
+        F.min_by(F.struct(*others), F.struct(*order)).alias("row")
+    ).select(job, "row.*")
 
 
 def current_status(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -89,24 +89,27 @@ def ingest_evidence(
 ) -> StreamingQuery:
     """New artifact files to summarised artifacts and skill contributions.
 
-    Per micro-batch: copies collapse, hashes of earlier batches are skipped (only the hash
-    column of the store is read), the rest is summarised, and the batch's own skill edges
-    are written. Edges of different batches add up in any order (``skill_records``), so
+    Per micro-batch: copies collapse, hashes of earlier batches are skipped, the rest is
+    summarised, and the batch's own skill edges are written. Hashes are stored in folders by their
+    first two digits, and a batch reads only the folders of its own hashes. Edges of different batches add up in any order (``skill_records``), so
     late evidence needs no watermark.
     """
     spark = stream.sparkSession
-    artifacts, edges = f"{root}/artifacts", f"{root}/edges"
+    artifacts, edges, hashes = f"{root}/artifacts", f"{root}/edges", f"{root}/hashes"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         hashed = batch.withColumn("content_hash", F.sha2("raw_content", 256)).filter(
             F.trim("raw_content") != ""
         )
-        stored = None
-        if batch_id > 0:
-            stored = spark.read.parquet(artifacts).filter(F.col("batch_id") < batch_id)
+        stored = known_hashes(spark, hashes, hashed, batch_id) if batch_id > 0 else None
         fresh = evidence.with_summary(evidence.new_artifacts(hashed, stored, arrival))
         target = f"{artifacts}/batch_id={batch_id}"
         fresh.write.mode("overwrite").parquet(target)
+        spark.read.parquet(target).select(
+            "content_hash", hash_prefix().alias("prefix"), F.lit(batch_id).alias("batch_id")
+        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "prefix", "batch_id"
+        ).parquet(hashes)
         rows = spark.read.parquet(target).withColumn("skill_name", F.explode("skills"))
         evidence.skill_edges(rows, as_of).write.mode("overwrite").parquet(
             f"{edges}/batch_id={batch_id}"
@@ -115,6 +118,18 @@ def ingest_evidence(
     return each_batch(stream, handle, checkpoint).start()
 
 
+def hash_prefix() -> Column:
+    return F.substring("content_hash", 1, 2)
+
+
+def known_hashes(spark: SparkSession, path: str, batch: DataFrame, batch_id: int) -> DataFrame:
+    """Hashes of earlier batches that can equal one of this batch: at most 256 folders are named."""
+    prefixes = sorted(r[0] for r in batch.select(hash_prefix()).distinct().collect())
+    # prefixes such as 00 are text, whatever the folders look like
+    rows = spark.read.schema("content_hash string, prefix string, batch_id long").parquet(path)
+    return rows.filter(F.col("prefix").isin(prefixes) & (F.col("batch_id") < batch_id))
+
+
 def skill_records(spark: SparkSession, root: str) -> DataFrame:
     """Skill records over all ingested batches."""
     edges = spark.read.parquet(f"{root}/edges")

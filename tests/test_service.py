@@ -106,21 +106,17 @@ def folder(spark, messages, tmp_path):
 
 def test_stream_first_sightings(spark, folder, accepted):
     source = streams.files(spark, str(folder / "in"), "id long, key string, ts timestamp")
-    out = rules.first_sightings(source, "key", "ts", "id", 300, lateness="2 days")
-    streams.write_batches(out, str(folder / "out"), str(folder / "cp")).awaitTermination()
-    assert {r["id"] for r in spark.read.parquet(str(folder / "out")).collect()} == accepted
+    out = streams.first_sightings(source, "key", "ts", "id", str(folder / "out"), str(folder / "cp"), 300)
+    assert {r["id"] for r in out.collect()} == accepted
 
 
-def test_stream_quota_and_repeats(spark, folder, messages):
+def test_stream_quota(spark, folder, messages):
     schema = "id long, key string, ts timestamp"
     source = streams.files(spark, str(folder / "in"), schema)
     out = rules.quota_windows(source, "key", "ts", 3, "2 days")
     streams.write_batches(out, str(folder / "q"), str(folder / "qcp"), "update").awaitTermination()
     rows = streams.latest_updates(spark.read.parquet(str(folder / "q")), ["key", "minute"])
     assert sum(r["requests"] for r in rows.collect()) == len(messages)
-    builtin = rules.drop_repeats(streams.files(spark, str(folder / "in"), schema), "key", "ts", "30 days")
-    streams.write_batches(builtin, str(folder / "b"), str(folder / "bcp")).awaitTermination()
-    assert spark.read.parquet(str(folder / "b")).count() == 3
 
 
 def test_streams_keep_late_rows(spark, folder, messages):
@@ -134,9 +130,14 @@ def test_streams_keep_late_rows(spark, folder, messages):
     streams.write_batches(counts, str(folder / "lq"), str(folder / "lqcp"), "update").awaitTermination()
     rows = streams.latest_updates(spark.read.parquet(str(folder / "lq")), ["key", "minute"])
     assert sum(r["requests"] for r in rows.collect()) == len(messages)
-    ended = rules.first_terminal(streams.files(spark, str(folder / "mixed"), schema), "key", "ts")
-    streams.write_batches(ended, str(folder / "ft"), str(folder / "ftcp")).awaitTermination()
-    assert spark.read.parquet(str(folder / "ft")).count() == len({m[1] for m in messages})
+    ended = rules.first_terminal(streams.files(spark, str(folder / "mixed"), schema), "key", ["ts", "id"])
+    streams.write_batches(ended, str(folder / "ft"), str(folder / "ftcp"), "update").awaitTermination()
+    # the first files hold the latest messages: the earliest one wins all the same
+    first = {}
+    for number, key, moment in sorted(messages, key=lambda m: (m[2], m[0])):
+        first.setdefault(key, number)
+    last = streams.latest_updates(spark.read.parquet(str(folder / "ft")), ["key"]).collect()
+    assert {r["key"]: r["id"] for r in last} == first
 
 
 def test_stream_dead_letters(spark, folder):
@@ -163,6 +164,21 @@ def test_stream_ingest_is_idempotent_over_batches(spark, tmp_path):
     assert got == {("d1", "kafka"): 1, ("d1", "rust"): 1, ("d1", "concurrency"): 1}
 
 
+def test_ingest_reads_only_the_folders_of_its_hashes(spark, tmp_path):
+    rows = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+    stored = rows.withColumns({"prefix": streams.hash_prefix(), "batch_id": F.lit(0)})
+    stored.write.partitionBy("prefix", "batch_id").parquet(str(tmp_path / "h"))
+    batch = rows.filter("content_hash < '03'").limit(9)
+    known = streams.known_hashes(spark, str(tmp_path / "h"), batch, 1)
+    assert batch.join(known, "content_hash", "left_anti").count() == 0
+    found = known.collect()
+    scan = known._jdf.queryExecution().executedPlan().collectLeaves().head()
+    prefixes = {r["content_hash"][:2] for r in batch.collect()}
+    assert {r["prefix"] for r in found} == prefixes and len(found) < 100
+    assert scan.metrics().get("numPartitions").get().value() == len(prefixes)
+    assert streams.known_hashes(spark, str(tmp_path / "h"), batch, 0).count() == 0
+
+
 # --- sources and sinks ----------------------------------------------------------------
 
 
