@@ -81,23 +81,61 @@ def collapse_whitespace(text: Column) -> Column:
 # --- skills ---------------------------------------------------------------------------
 
 
+def longest_of(words: Iterable[str]) -> str:
+    """A pattern of the longest of these words at a place: a trie, so that a text is walked once
+    whatever their number."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        parts = [quote(letter) + write(child) for letter, child in sorted(node.items()) if letter]
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)})" + ("?" if "" in node else "")
+
+    return write(root)
+
+
 def extract_skills(text: Column, word_boundary: bool = False) -> Column:
-    """Sorted canonical skills named in a text.
+    """Sorted canonical skills named in a text, found in one pass.
 
     A spelling counts when no letter or digit stands before it; what follows is not
     looked at, so ``es`` also matches "essential". ``word_boundary`` asks for an end too.
     """
     low = F.lower(text)
-    tail = "(?![a-z0-9])" if word_boundary else ""
-    hits = [
-        F.when(
-            text_contains_any(low, spellings)
-            & low.rlike(f"(?<![a-z0-9])(?:{alternation(spellings)}){tail}"),
-            F.lit(skill),
-        )
-        for skill, spellings in sorted(vocab.skill_aliases().items())
-    ]
-    return F.array_compact(F.array(*hits))
+    aliases = vocab.skill_aliases()
+    if word_boundary:
+        hits = [
+            F.when(
+                text_contains_any(low, spellings)
+                & low.rlike(f"(?<![a-z0-9])(?:{alternation(spellings)})(?![a-z0-9])"), F.lit(skill),
+            )
+            for skill, spellings in sorted(aliases.items())
+        ]
+        return F.array_compact(F.array(*hits))
+    owners: dict[str, set[str]] = {}
+    for skill, spellings in aliases.items():
+        for spelling in spellings:
+            owners.setdefault(spelling, set()).add(skill)
+    # where the longest spelling stands, so do all that it begins with
+    named = {
+        longest: sorted({s for other in owners if longest.startswith(other) for s in owners[other]})
+        for longest in owners
+    }
+    skills = F.create_map(*[
+        x for spelling, found in named.items()
+        for x in (F.lit(spelling), F.array(*map(F.lit, found)))
+    ])
+    # a place that is only looked at, so that spellings may overlap
+    pattern = f"(?<![a-z0-9])(?=({longest_of(owners)}))"
+    hits = F.array_distinct(F.regexp_extract_all(F.coalesce(low, F.lit("")), F.lit(pattern), F.lit(1)))
+    return F.array_sort(F.array_distinct(F.flatten(
+        F.transform(hits, lambda h: F.element_at(skills, h))
+    )))
 
 
 def canonical_skill(name: Column) -> Column:
