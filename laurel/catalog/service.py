@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from laurel.catalog import sqltext as S
+from laurel.catalog.profiles import matrix
 from laurel.catalog.registry import query, rounded
 from laurel.functions import text as X
 from laurel.operators import service
@@ -108,15 +110,17 @@ def job_results(spark, sf):
 _BOUNDS = "[0.05, 0.1, 0.25, 0.5, 1, 2, 5, 10, 30, 60, 120, 300]"
 
 
-@query("job_rollup", f"""WITH j AS (SELECT event_type AS source, user_id % 2 = 0 AS hit, value / 1000.0 AS s FROM events)
+@query("job_rollup", f"""{S.GATED}, j AS (SELECT event_type AS source, user_id % 2 = 0 AS hit, value / 1000.0 AS s FROM events)
 SELECT 'requests' AS metric, source || ',' || CASE WHEN hit THEN 'true' ELSE 'false' END AS label, count(*) AS value FROM j GROUP BY ALL
-UNION ALL SELECT 'latency_le', CASE WHEN b = floor(b) THEN CAST(b::INT AS VARCHAR) ELSE CAST(b AS VARCHAR) END, (SELECT count(*) FROM j WHERE s <= b) FROM (SELECT unnest({_BOUNDS}::DOUBLE[]) AS b)""")
+UNION ALL SELECT 'latency_le', CASE WHEN b = floor(b) THEN CAST(b::INT AS VARCHAR) ELSE CAST(b AS VARCHAR) END, (SELECT count(*) FROM j WHERE s <= b) FROM (SELECT unnest({_BOUNDS}::DOUBLE[]) AS b)
+UNION ALL SELECT 'gate_exclusions', reason, count(*) FROM (SELECT unnest(gate_failures) AS reason FROM gated WHERE NOT gate_passed) GROUP BY reason
+UNION ALL SELECT 'honeypots', '', count(*) FROM gated WHERE is_honeypot = 1""")
 def job_rollup(spark, sf):
     jobs = t.load(spark, sf, "events").select(
         F.col("event_type").alias("source"), (F.col("user_id") % 2 == 0).alias("cache_hit"),
         F.col("value").alias("elapsed_ms"),
     )
-    return service.job_rollup(jobs)
+    return service.job_rollup(jobs, matrix(spark, sf))
 
 
 @query("request_keys", """SELECT o_orderkey, substr(sha256(sha256(o_orderpriority) || '100' || coalesce((SELECT string_agg(id, '' ORDER BY id) FROM (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) AS id FROM lineitem WHERE l_orderkey = o_orderkey)), '')), 1, 24) AS key FROM orders""")

@@ -185,9 +185,10 @@ def recent(df: DataFrame, created: str, n: int, id_col: str) -> DataFrame:
     return df.orderBy(F.col(created).desc(), F.col(id_col).desc()).limit(n)
 
 
-def job_rollup(jobs: DataFrame) -> DataFrame:
+def job_rollup(jobs: DataFrame, gated: DataFrame | None = None) -> DataFrame:
     """Requests by source and cache result, and the cumulative latency histogram: rows
-    (metric, label, value). ``jobs``: source, cache_hit, elapsed_ms."""
+    (metric, label, value). ``jobs``: source, cache_hit, elapsed_ms. With the gated pool of the jobs
+    also its exclusions by reason and its impossible profiles."""
     requests = jobs.groupBy(
         F.concat_ws(",", "source", F.col("cache_hit").cast("string")).alias("label")
     ).agg(F.count(F.lit(1)).alias("value")).select(
@@ -200,7 +201,18 @@ def job_rollup(jobs: DataFrame) -> DataFrame:
                  F.lit(f"{b:g}").alias("label"), F.col(f"b{i}").alias("value"))
         for i, b in enumerate(LATENCY_BOUNDS)
     ])
-    return requests.unionByName(jobs.agg(*sums).select(F.inline(cells)))
+    out = requests.unionByName(jobs.agg(*sums).select(F.inline(cells)))
+    if gated is None:
+        return out
+    excluded = gated.filter(~F.col("gate_passed")).select(
+        F.explode("gate_failures").alias("label")
+    ).groupBy("label").agg(F.count(F.lit(1)).alias("value"))
+    impossible = gated.agg(F.count_if(F.col("is_honeypot") == 1).alias("value"))
+    return out.unionByName(
+        excluded.select(F.lit("gate_exclusions").alias("metric"), "label", "value")
+    ).unionByName(impossible.select(
+        F.lit("honeypots").alias("metric"), F.lit("").alias("label"), "value"
+    ))
 
 
 def request_key(jd_hash: Column, ids: Column | None, top_k_: Column) -> Column:

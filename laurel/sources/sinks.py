@@ -168,3 +168,10 @@ def job_results(spark: SparkSession, root: str, job: int | str, group: str = "jd
     """The rows of one job in rank order; only its folder is read."""
     rows = spark.read.parquet(f"{root}/ranking_results")
     return rows.filter(F.col(group) == job).orderBy("rank")
+
+
+def export_job(spark: SparkSession, root: str, job: int | str, path: str, group: str = "jd_id",
+               expected_rows: int | None = None) -> None:
+    """The stored rows of one job as a checked CSV file."""
+    rows = job_results(spark, root, job, group).drop(group)
+    write_and_check(rows, path, rows.count() if expected_rows is None else expected_rows)
