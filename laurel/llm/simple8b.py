@@ -368,7 +368,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
                 ids = []
                 for row in range(low, high):
                     # the encoder ends every text with an id of its own
-                    found = encode(texts[row].as_py(), tokenizer, added=True)
+                    found = encode(texts[row].as_py(), tokenizer)
                     found[-1] = end_id
                     ids.append(found.tobytes())
                 yield pa.RecordBatch.from_arrays(

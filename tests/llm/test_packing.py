@@ -11,20 +11,20 @@ from tokenizers import Tokenizer
 from laurel.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-own = Tokenizer.from_file(PATH)
-own.encode_special_tokens = True
+#: the library as it loads
+LIBRARY = Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=200))
 def test_ids_are_those_of_the_library(text):
-    want = own.encode(text, add_special_tokens=False).ids + [0]
+    want = LIBRARY.encode(text, add_special_tokens=False).ids + [0]
     assert packing.encode(text, PATH).tolist() == want
 
 
 def test_control_strings_and_long_runs():
     for text in ("<|endoftext|>a", "x" * 30_000, " " * 9_000, "ab, " * 5_000, "\n" * 99 + "'s"):
-        assert packing.encode(text, PATH).tolist() == own.encode(
+        assert packing.encode(text, PATH).tolist() == LIBRARY.encode(
             text, add_special_tokens=False).ids + [0]
 
 
@@ -63,7 +63,7 @@ def check_packed(rows, texts, capacity):
     for i, text in texts:
         pieces = sorted(ids[i])
         whole = [x for _, _, part in pieces for x in part]
-        assert whole == own.encode(text or "", add_special_tokens=False).ids + [0]
+        assert whole == LIBRARY.encode(text or "", add_special_tokens=False).ids + [0]
         assert [p for p, _, _ in pieces] == list(range(len(pieces)))
         assert all(len(part) == capacity for p, _, part in pieces if p)
         at = 0
@@ -86,6 +86,30 @@ def test_pack(spark, documents, corpus):
     assert used <= 1.1 * total / 256 + 8
 
 
+def test_many_partitions_cost_no_sequences(spark, documents):
+    rng = random.Random(6)
+    rows = [(i, " ".join("word" for _ in range(rng.randint(1, 60)))) for i in range(4000)]
+    docs = documents(rows).repartition(40)
+    found = packing.pack(docs, PATH, capacity=256, open_bins=32).collect()
+    used = check_packed(found, rows, 256)
+    total = sum(r.length for r in found)
+    assert used <= 1.01 * total / 256 + 1
+
+
+def test_closed_bins_are_told(spark):
+    rng = random.Random(8)
+    bins, told, filled = packing.OpenBins(40, 3), set(), {}
+    for _ in range(500):
+        n = rng.randint(1, 40)
+        at, offset = bins.place(n)
+        assert at not in told and offset == filled.get(at, 0)
+        filled[at] = offset + n
+        told |= set(bins.closed)
+        bins.closed.clear()
+    still = {b for cell in bins.bins for b in cell}
+    assert told | still == set(filled) and not told & still
+
+
 def test_edges(spark, documents):
     assert packing.pack(documents([]), PATH).count() == 0
     extra = documents([(1, None), (1, None), (None, "a")]).selectExpr("*", "1 AS piece", "2 AS ids")
@@ -93,17 +117,13 @@ def test_edges(spark, documents):
     assert sorted(r.length for r in rows) == [1, 1, 2]
 
 
-#: the library as it loads
-LIBRARY = Tokenizer.from_file(PATH)
-
-
 def test_added_tokens_get_the_ids_of_the_library_as_it_loads(spark, documents):
     token = "<|endoftext|>"
     texts = [f"a {token} b", token, f" {token}{token} ", f"x\n\n{token}\n y  {token}z", "<|endoftext|",
              f"{'word ' * 900}{token} {'word ' * 900}"]
     for text in texts:
         want = LIBRARY.encode(text, add_special_tokens=False).ids + [0]
-        assert packing.encode(text, PATH, added=True).tolist() == want
+        assert packing.encode(text, PATH).tolist() == want
     found = {}
     for r in packing.pack(documents(list(enumerate(texts))), PATH, capacity=256).collect():
         found.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
@@ -118,4 +138,4 @@ def test_added_tokens_get_the_ids_of_the_library_as_it_loads(spark, documents):
 def test_added_tokens_between_any_text(parts):
     text = "".join(parts)
     want = LIBRARY.encode(text, add_special_tokens=False).ids
-    assert packing.encode(text, PATH, added=True).tolist() == want + [0]
+    assert packing.encode(text, PATH).tolist() == want + [0]
