@@ -6,8 +6,7 @@ window, attention pools their states, and one number comes out; a text's score i
 score of its strongest window, so one bad passage in a long text is enough.
 
 The network is trained on at most ``POSITIVES + NEGATIVES`` labelled documents (chosen by a hash
-of the id) with at most ``TRAIN_WINDOWS`` windows each; it has a fixed size and is shipped to the
-tasks. Scoring reads every window of every text, inside the scan, without a shuffle.
+of the id) with all of their windows; it has a fixed size and is shipped to the tasks. Scoring reads every window of every text, inside the scan, without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 WINDOW, STRIDE = 48, 32
 HIDDEN, EMBED, ATTEND = 8, 8, 8
 WORD_ROWS = TRIGRAM_ROWS = 1 << 13
-#: labelled documents used for training, of either kind, and windows of one of them
-POSITIVES, NEGATIVES, TRAIN_WINDOWS = 1500, 3000, 256
+#: labelled documents used for training, of either kind
+POSITIVES, NEGATIVES = 1500, 3000
 THRESHOLD = 0.3
 #: letters stay, other ASCII characters part words
 LETTERS = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
@@ -61,14 +60,12 @@ class Words:
         return word.astype(np.int64), ((code ^ code >> 7) % TRIGRAM_ROWS)[at].astype(np.int64), first
 
 
-def windows(numbers: np.ndarray, most: int | None = None) -> np.ndarray:
+def windows(numbers: np.ndarray) -> np.ndarray:
     """(n, WINDOW) word numbers of the overlapping windows of one text, padded with 0."""
     n = max(1, -(-(len(numbers) - (WINDOW - STRIDE)) // STRIDE))
     padded = np.zeros((n - 1) * STRIDE + WINDOW, np.int32)
     padded[:len(numbers)] = numbers
     starts = np.arange(n) * STRIDE
-    if most is not None and n > most:
-        starts = starts[np.linspace(0, n - 1, most).astype(int)]
     return padded[starts[:, None] + np.arange(WINDOW)]
 
 
@@ -251,7 +248,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3, epochs:
     words = Words()
     per_text = [words.number(cut(t)) for t in texts]
     rows = words.rows()
-    cuts = [windows(n, TRAIN_WINDOWS) for n in per_text]
+    cuts = [windows(n) for n in per_text]
     owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
     every = np.concatenate(cuts)
     # distinct words in order of their number: per text the numbers without padding
