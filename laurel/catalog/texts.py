@@ -8,7 +8,7 @@ from laurel import vocab
 from laurel.catalog.registry import query, rounded, stored_path
 from laurel.catalog.sqltext import has
 from laurel.functions import text as X
-from laurel.operators import evidence, metrics, ranking, retrieval, textindex
+from laurel.operators import evidence, metrics, pivots, ranking, retrieval, textindex
 from laurel.sources import artifacts
 from laurel.sources import tables as t
 
@@ -173,6 +173,25 @@ def dense_cosine_top(spark, sf):
     ).drop("key"))
 
 
+_NEAREST = """WITH q AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS qv FROM embeddings GROUP BY label),
+scored AS (SELECT label, vec_id, list_dot_product(embedding::DOUBLE[], qv) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(qv, qv)) AS score
+  FROM (SELECT vec_id, embedding FROM embeddings) CROSS JOIN q)
+SELECT label, vec_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY floor(score * 1e9 + 0.5) DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 50"""
+
+
+@query("pivot_nearest", _NEAREST)
+def pivot_nearest(spark, sf):
+    """The same from vectors stored by pivot: groups that cannot hold a nearer one stay closed."""
+    vectors = t.load(spark, sf, "embeddings")
+    root = stored_path(spark, sf, "vector_index", lambda path: pivots.write_vectors(
+        t.spread(vectors), "vec_id", "embedding", path
+    ))
+    queries = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    found, _ = pivots.nearest(pivots.read_vectors(spark, root), queries, "label", "q", 50)
+    return rounded(found.withColumnRenamed("id", "vec_id"))
+
+
 # --- ranks and fusion -----------------------------------------------------------------
 
 
