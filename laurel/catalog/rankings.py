@@ -309,6 +309,7 @@ def ranked(spark, sf):
     ))
 
 
+# fixed values: the same phrases, weights and bounds as in operators.explain and operators.tournament
 _FMT = """, sentences AS (
 SELECT jd_id, candidate_id, rank, final_score,
   CASE list_sum(list_transform(string_split(candidate_id, ''), lambda x: ascii(x))) % 3

@@ -10,6 +10,9 @@ from laurel.functions.text import collapse_whitespace, id_seed
 from laurel.operators.ranking import score_key, top_k
 
 
+# The phrases and bounds of this module are fixed values: results must read like this.
+
+
 def company_phrase(ratio: Column) -> Column:
     return (
         F.when(ratio >= 0.8, F.lit("at product companies"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from laurel.functions.numeric import clip, scaled
 from laurel.operators.ranking import exact_quantiles, minmax, score_key, top_k
 
+# fixed values: weights and percentiles that results depend on
 MERGE_WEIGHTS = {"fit": 0.40, "retrieval": 0.35, "signal": 0.25}
 HEAD_WEIGHTS = {"rerank_score": 0.15, "tournament_score": 0.10, "llm_fit_score": 0.15}
 TIER_QUANTILES = ((1, 0.50), (2, 0.75), (3, 0.90), (4, 0.97), (5, 0.99))

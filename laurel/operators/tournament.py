@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from laurel.operators.ranking import score_key
 
+# fixed values: criteria with their weights, the share of draws, and when the rounds end
 CRITERIA = {
     "jd_fit_score": 0.26, "rerank_score": 0.20, "retrieval_skill_count": 0.14,
     "jd_skill_match_count": 0.12, "assessment_mean_score": 0.12,
