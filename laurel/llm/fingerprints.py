@@ -107,14 +107,16 @@ def as_text(fingerprint: Column) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with ``mark``, and ``next_text``, ``next_mark`` of the document with the
-    next smaller id (after the last: of the first). Null ids come last; repeated ids follow in
-    the order of their text's hash.
+    next smaller id (after the last: of the first). Null ids come last; they, and repeated ids, follow
+    in the order of their text's hash.
 
     Ids are cut into runs of 128; inside a run the neighbour is the next row of a window. The
     last row of a run takes the first row of the next run that has rows: one row per run. Texts
     are dealt out once: the stated repartition is the same exchange for both uses.
     """
-    run = F.coalesce(F.shiftright("doc_id", RUN_BITS), F.lit(-(2**62)))
+    # rows without an id stand in many runs of their own, after all others, by the hash of their text
+    unnamed = F.lit(-(2**62)) - F.shiftright(F.xxhash64("text"), 44)
+    run = F.coalesce(F.shiftright("doc_id", RUN_BITS), unnamed)
     order = Window.partitionBy("_run").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     placed = docs.select("doc_id", "text", run.alias("_run")).repartition("_run")
     inside = placed.withColumns({
@@ -138,7 +140,11 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def edit_study(docs: DataFrame) -> DataFrame:
-    """Fingerprint of every text, of its half replaced by the next document's, and likeness."""
+    """Fingerprint of every text, of its half replaced by the next document's, and likeness.
+
+    Null text is the empty text; null and repeated ids are ordered as ``with_next`` says; an empty
+    table gives an empty result; other columns are ignored.
+    """
     base = docs.select("doc_id", filled(F.col("text")).alias("text"))
     paired = with_next(base)
     half = F.floor(F.length("text") / 2).cast("int")

@@ -1,9 +1,81 @@
 from __future__ import annotations
 
+import random
+import re
+import struct
+from collections import Counter
+
+import xxhash
 from laurel.llm import fingerprints as fp
 from pyspark.sql import functions as F
 
 
+def chained(*values):
+    """The engine's 64-bit hash of some values: each seeds the next, null leaves the seed."""
+    seed = 42
+    for v in values:
+        if isinstance(v, str):
+            seed = xxhash.xxh64_intdigest(v.encode(), seed)
+        elif v is not None:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+    return seed
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def plain_mark(text, k=fp.K):
+    """Occurrence-numbered k-mers, the two least of each bin, in text order, hashed as a pair."""
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    low = fp.POSITION & (2**64 - 1)
+    cleared = lambda h: h & ~low & (2**64 - 1)
+    grams = [cleared(chained(*tokens[i:i + k])) for i in range(max(len(tokens) - k + 1, min(len(tokens), 1)))]
+    seen, entries = Counter(), []
+    for at, gram in enumerate(grams):
+        name = struct.pack("<q", signed(gram))
+        number = struct.pack("<i", seen[gram])
+        seen[gram] += 1
+        entries.append((cleared(xxhash.xxh64_intdigest(number, xxhash.xxh64_intdigest(name, 42))), at))
+    bits = fp.BINS.bit_length() - 1
+    bins = {}
+    for value, at in sorted(entries, key=lambda e: (signed(e[0] | e[1]))):
+        bins.setdefault(value >> (64 - bits), []).append((value, at))
+    out = []
+    for number in sorted(bins, key=lambda b: signed(b << (64 - bits))):
+        two = sorted(bins[number][:2], key=lambda e: e[1])
+        pair = [struct.pack("<q", signed(v)) for v, _ in two]
+        seed = xxhash.xxh64_intdigest(pair[0], 42)
+        if len(pair) == 2:
+            seed = xxhash.xxh64_intdigest(pair[1], seed)
+        out.append(number << 32 | seed & (2**32 - 1))
+    return out
+
+
+def test_marks_are_those_of_a_plain_twin(spark, corpus):
+    rng = random.Random(2)
+    texts = [t for _, t in corpus] + [" ".join(rng.choices("abc", k=n)) for n in (1, 2, 3, 4, 40, 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r.k: list(r.m) for r in fp.with_fingerprint(df, "text", "m").collect()}
+    assert got == {i: plain_mark(t) for i, t in enumerate(texts)}
+
+
+def test_many_rows_without_an_id(spark, documents):
+    rows = [(i, f"named {i} text") for i in range(6)] + [(None, f"text {i} " * (i % 4 + 1)) for i in range(300)]
+    rows += [(None, "text 7 " * 4)] * 2
+    found = fp.with_next(documents(rows)).collect()
+    assert len(found) == len(rows)
+    # following the next ones runs through all rows: each text is next as often as it is there
+    said = Counter(t or "" for _, t in rows)
+    assert Counter(r.next_text for r in found) == said
+    by_id = {r.doc_id: r.next_text for r in found if r.doc_id is not None}
+    assert all(by_id[i] == f"named {i - 1} text" for i in range(1, 6))
+    none = [t for _, t in sorted((signed(chained(t)), t) for i, t in rows if i is None)]
+    got = Counter((r.text, r.next_text) for r in found if r.doc_id is None)
+    assert got == Counter(zip(none, [*none[1:], "named 5 text"])) and by_id[0] == none[0]
+
+
+
 def test_next_and_edited(spark, documents, corpus):
     got = {r.doc_id: r for r in fp.edit_study(documents(corpus)).collect()}
     ids = sorted(got, reverse=True)
