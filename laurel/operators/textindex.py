@@ -35,6 +35,8 @@ SHARDS = 64
 SPLITS = 8
 #: distinct terms up to which a search names them in its filter
 NAMED_TERMS = 4096
+#: of these, the number up to which each is compared, so that row groups without them are not read
+COMPARED_TERMS = 100
 #: queries scored in one pass: bounds what is shipped to a task and held there
 QUERY_BLOCK = 512
 #: documents scored at a time
@@ -163,15 +165,19 @@ def read_index(spark: SparkSession, path: str) -> TextIndex:
 
 
 def _of_terms(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of the asked terms. Up to ``NAMED_TERMS`` of them are named, so that folders and row
-    groups of other terms are not read; beyond that the join alone selects."""
+    """Rows of the asked terms. Up to ``NAMED_TERMS`` of them are named, so that folders, and up to
+    ``COMPARED_TERMS`` row groups, of other terms are not read; beyond that the join alone selects."""
     few = asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()
     if len(few) <= NAMED_TERMS:
         terms = sorted(r.term for r in few)
         shards = sorted({t % SHARDS for t in terms})
+        rows = rows.filter(F.col("shard").isin(shards))
+        if len(terms) > COMPARED_TERMS:
+            # a filter of thousands of values overflows the planner's stack, or compares each row
+            # with each of them; that many terms stand in most row groups anyway
+            return rows.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
         # a list of more than ten values would reach the files as one wide range
         named = [F.col("term").isin(list(part)) for part in batched(terms, 10)]
-        rows = rows.filter(F.col("shard").isin(shards))
         rows = rows.filter(reduce(lambda x, y: x | y, named, F.lit(False)))
     return rows
 

@@ -53,6 +53,20 @@ def test_bm25_top_is_the_head_of_full_scoring(index, asked, k):
     assert all(abs(scores[r.qid, r.rank] - r.score) < 1e-9 for r in got)
 
 
+def test_questions_of_thousands_of_terms(spark, tmp_path):
+    # a filter that names them one after the other overflowed the planner's stack
+    words = [f"v{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[i::40])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stored = textindex.write_index(docs, "doc_id", "text", str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, " ".join(words))], "qid long, question string")
+    full = retrieval.bm25_scores(docs, asked, "doc_id", "text", "qid", "question").collect()
+    got = textindex.bm25_top(stored, asked, "qid", "question", 40).collect()
+    assert {r.id for r in got} == set(range(40))
+    scores = {r.doc_id: r.score for r in full}
+    assert all(abs(scores[r.id] - r.score) < 1e-9 for r in got)
+
+
 def test_buckets_below_the_reached_score_stay_closed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(textindex, "BUCKET_DOCS", 8)
     rows = [(i, "rare rare rare rare" if i < 4 else "rare " + "x " * 200) for i in range(400)]
