@@ -62,11 +62,13 @@ def folded(docs: DataFrame, id_col: str, text_col: str, code: str = "crc32",
     """(id, length, terms, tfs, cells, sums): each text cut once; distinct term hashes in ascending
     order with counts, and the non-zero cells of the signed token counts. No shuffle."""
 
-    def token(word: Column) -> Column:
-        h = TOKEN_CODES[code](word)
-        positive = F.shiftright(h, 20).bitwiseAND(F.lit(1)) == 1
-        cell = (F.pmod(h, F.lit(dim)) + 1).cast("int")
-        return F.struct(F.xxhash64(word).alias("t"), F.when(positive, cell).otherwise(-cell).alias("c"))
+    def coded(word: Column) -> Column:
+        return F.struct(F.xxhash64(word).alias("t"), TOKEN_CODES[code](word).alias("h"))
+
+    def token(x: Column) -> Column:
+        positive = F.shiftright(x["h"], 20).bitwiseAND(F.lit(1)) == 1
+        cell = (F.pmod(x["h"], F.lit(dim)) + 1).cast("int")
+        return F.struct(x["t"].alias("t"), F.when(positive, cell).otherwise(-cell).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +93,9 @@ def folded(docs: DataFrame, id_col: str, text_col: str, code: str = "crc32",
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.transform(tokenize(F.col(text_col)), token).alias("_t")).mapInArrow(
+    # two steps, so that the code is computed once per token
+    tokens = F.transform(F.transform(tokenize(F.col(text_col)), coded), token)
+    return docs.select(id_col, tokens.alias("_t")).mapInArrow(
         run, f"`{id_col}` {kind}, length long, terms array<long>, tfs array<int>, "
         "cells array<int>, sums array<int>"
     )
