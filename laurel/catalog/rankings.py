@@ -28,7 +28,7 @@ def proxy_labels(spark, sf):
 
 @query("relevance_tiers", f"{S.LABELLED} SELECT candidate_id, round(relevance, 6) AS relevance, tier FROM labelled")
 def relevance_tiers(spark, sf):
-    df = scoring.with_tiers(scoring.with_relevance(matrix(spark, sf)))
+    df = scoring.with_tiers(scoring.stored_relevance(matrix(spark, sf)))
     return rounded(df.select("candidate_id", "relevance", "tier"))
 
 

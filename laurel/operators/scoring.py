@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laurel.functions.numeric import clip, scaled
 from laurel.operators.ranking import exact_quantiles, minmax, score_key, top_k
+from laurel.session import materialise
 
 # fixed values: weights and percentiles that results depend on
 MERGE_WEIGHTS = {"fit": 0.40, "retrieval": 0.35, "signal": 0.25}
@@ -61,6 +62,11 @@ def with_relevance(df: DataFrame, name: str = "relevance") -> DataFrame:
     return staged.withColumn(name, clip(_ungated(df, rel))).drop("_b")
 
 
+def stored_relevance(df: DataFrame, id_col: str = "candidate_id") -> DataFrame:
+    """(id, relevance), written once: quantiles read their column once per pass."""
+    return materialise(with_relevance(df).select(id_col, "relevance"), "relevance")
+
+
 def with_tiers(df: DataFrame, relevance: str = "relevance", name: str = "tier") -> DataFrame:
     """Integer tiers 0..5 by the percentiles of the positive values."""
     cuts = exact_quantiles(
@@ -83,7 +89,7 @@ def graded_labels(
     df: DataFrame, grades: DataFrame | None = None, id_col: str = "candidate_id"
 ) -> DataFrame:
     """(id, tier) for every row; an external grade (clamped to 0..5) wins where given."""
-    tiers = with_tiers(with_relevance(df)).select(id_col, "tier")
+    tiers = with_tiers(stored_relevance(df, id_col)).select(id_col, "tier")
     if grades is None:
         return tiers
     given = grades.select(
