@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laurel.functions.text import tokenize
-from laurel.operators import retrieval
+from laurel.operators import ranking, retrieval
 
 TEXTS = [
     (1, "tin whistle and tin drum"), (2, "drum"), (3, None), (4, ""),
@@ -79,3 +79,19 @@ def test_tokens_of_a_batch_give_the_vectors(spark, code):
     lists = pa.array([r.tokens for r in rows], pa.list_(pa.string()))
     for r, vector in zip(rows, retrieval._token_vectors(lists, 48, code), strict=True):
         assert list(vector) == pytest.approx(list(want[r.doc_id]))
+
+
+def test_only_ids_and_places_are_written_for_ranks(spark, monkeypatch):
+    written = []
+    whole = ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", lambda df, name: written.append(df.columns) or whole(df, name))
+    lists = [spark.createDataFrame([(1, i, s + i % 3) for i in range(9)], "qid long, id long, score double")
+             for s in (0.0, 1.0)]
+    got = {r.id: r.credit for r in ranking.fuse_scores(lists, "id", "qid").collect()}
+    assert written == [["qid", "id", "_at"]] * 2
+    want = {}
+    for s in (0.0, 1.0):
+        best = sorted((-(s + i % 3), i) for i in range(9) if s + i % 3 > 0)
+        for rank, (_, i) in enumerate(best, 1):
+            want[i] = want.get(i, 0.0) + 1 / (60 + rank)
+    assert got == pytest.approx(want)
