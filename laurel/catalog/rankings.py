@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laurel.catalog import sqltext as S
-from laurel.catalog.profiles import matrix
+from laurel.catalog.profiles import matrix, profile_columns
 from laurel.catalog.registry import query, rounded, stored
 from laurel.catalog.texts import CODE, RTOK, TOK, _key
 from laurel.operators import explain, metrics, model, quality, sampling, scoring
@@ -549,7 +549,7 @@ def graded_sample(spark, sf):
 def unknown_candidates(spark, sf):
     """Requested ids that force a recomputation."""
     return _requested(spark, sf).join(
-        matrix(spark, sf).select("candidate_id"), "candidate_id", "left_anti"
+        profile_columns(spark, sf).select("candidate_id").distinct(), "candidate_id", "left_anti"
     )
 
 

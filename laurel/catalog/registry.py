@@ -46,6 +46,15 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return store.stage(name, build, store.listed(sf_dir))
 
 
+def stored_or_derived(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
+                      ) -> DataFrame:
+    """The same table for a query that reads it once: the stored one where it has been built, else the
+    rows as they are derived, of which only the columns that are read get computed."""
+    store = _store(spark)
+    found = store.found(name, store.listed(sf_dir))
+    return build() if found is None else found
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison; arrays of strings joined by commas."""
     out = []

@@ -133,6 +133,11 @@ class StageStore:
             self._forget(name, path)
         return path
 
+    def found(self, name: str, *inputs: object) -> DataFrame | None:
+        """A stage's result for these inputs if it has been built."""
+        path = f"{self.root}/{name}/{stage_key(name, code_key(), *inputs)}"
+        return None if self._read(f"{path}/{MARKER}") is None else self.spark.read.parquet(path)
+
     def stage(self, name: str, make: Callable[[], DataFrame], *inputs: object) -> DataFrame:
         """A stage whose result is one table."""
         return self.spark.read.parquet(
