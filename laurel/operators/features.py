@@ -1,16 +1,20 @@
 """The forty numeric features of a candidate, plus display columns.
 
-Everything is a projection over one candidate row: no shuffle, no user function. The
-nested arrays are decoded once into typed helper arrays, and the features are folds over
-those.
+Everything is a projection over one candidate row: no shuffle. The nested arrays are decoded
+once into typed helper arrays, and the features are folds over those. Only the word lists of
+titles and companies are searched in an Arrow batch, once per distinct name.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laurel import vocab
 from laurel.functions.dates import DAYS_PER_MONTH, safe_date
@@ -115,17 +119,54 @@ def location_fit() -> Column:
 # --- typed helper arrays --------------------------------------------------------------
 
 
-def _typed_roles() -> Column:
-    """Roles by start date, input order on ties; an unreadable start sorts first.
+def _any_of(low: str, words) -> bool:
+    return any(word in low for word in words)
+
+
+def _title_code(low: str) -> int:
+    """``_level`` times four, plus two for ``_technical``."""
+    level = next(
+        (n for n, words in vocab.TITLE_LEVELS if _any_of(low, words)), vocab.DEFAULT_TITLE_LEVEL
+    )
+    technical = not _any_of(low, vocab.NON_TECHNICAL_TITLE_TOKENS) and _any_of(
+        low, vocab.TECHNICAL_TITLE_TOKENS
+    )
+    return 4 * level + 2 * technical
+
+
+def _company_code(low: str) -> int:
+    """One for ``_consulting``."""
+    return int(_any_of(low, vocab.CONSULTING_FIRMS))
+
+
+def _coded(names: pa.Array, rule: Callable[[str], int]) -> np.ndarray:
+    """The rule's value for every name of the lists, found once per distinct one."""
+    seen = names.flatten().dictionary_encode()
+    words = [w.decode(errors="replace") for w in seen.dictionary.cast(pa.binary()).to_pylist()]
+    codes = np.array([rule(w) for w in words], np.int32)
+    return codes[seen.indices.to_numpy(zero_copy_only=False)]
+
+
+def _role_codes() -> Column:
+    """Per role of ``_typed`` its ``_title_code`` plus its ``_company_code``."""
 
-    Two steps: nothing is shared within a lambda, so the first makes what the second uses
-    several times."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def codes(titles: pa.Array, companies: pa.Array) -> pa.Array:
+        ends = np.cumsum(np.asarray(titles.value_lengths()), dtype=np.int32)
+        return pa.ListArray.from_arrays(
+            pa.array(np.append(np.int32(0), ends)),
+            pa.array(_coded(titles, _title_code) + _coded(companies, _company_code)),
+        )
+
+    return codes(F.col("_typed")["low_title"], F.col("_typed")["low_company"])
+
+
+def _typed_roles() -> Column:
+    """Roles in input order; an unreadable start is that of the epoch."""
     read = F.transform(
         roles_of(),
         lambda r, i: F.struct(
-            i.alias("pos"), safe_date(r["start_date"]).alias("start"),
-            safe_date(r["end_date"]).alias("end"), _low(r["title"]).alias("low_title"),
-            _low(r["company"]).alias("low_company"), r.alias("role"),
+            i.alias("pos"), safe_date(r["start_date"]).alias("start"), r.alias("role"),
         ),
     )
 
@@ -135,19 +176,35 @@ def _typed_roles() -> Column:
             F.coalesce(x["start"], F.lit(_EPOCH)).alias("sort_date"),
             x["pos"].alias("pos"),
             x["start"].alias("start"),
-            x["end"].alias("end"),
+            safe_date(r["end_date"]).alias("end"),
             whole(r["duration_months"]).alias("months"),
             F.coalesce(r["company"], F.lit("")).alias("company"),
             F.coalesce(r["title"], F.lit("")).alias("title"),
             F.coalesce(r["description"], F.lit("")).alias("description"),
             r["company_size"].alias("company_size"),
             F.coalesce(r["is_current"], F.lit(False)).alias("current"),
-            _consulting(x["low_company"]).alias("consulting"),
-            _technical(x["low_title"]).alias("technical"),
-            _level(x["low_title"]).alias("level"),
+            _low(r["title"]).alias("low_title"),
+            _low(r["company"]).alias("low_company"),
+        )
+
+    return F.transform(read, typed)
+
+
+def _coded_roles() -> Column:
+    """The roles of ``_typed`` with what ``_codes`` says of them, by start date, input order on
+    ties."""
+    kept = ("sort_date", "pos", "start", "end", "months", "company", "title", "description",
+            "company_size", "current")
+
+    def coded(r: Column, code: Column) -> Column:
+        return F.struct(
+            *[r[name].alias(name) for name in kept],
+            (code.bitwiseAND(F.lit(1)) != 0).alias("consulting"),
+            (code.bitwiseAND(F.lit(2)) != 0).alias("technical"),
+            F.shiftright(code, 2).alias("level"),
         )
 
-    return F.array_sort(F.transform(read, typed))
+    return F.sort_array(F.zip_with("_typed", "_codes", coded))
 
 
 def _typed_skills() -> Column:
@@ -189,8 +246,9 @@ def _typed_skills() -> Column:
 
 def decode(candidates: DataFrame) -> DataFrame:
     """Add the typed arrays ``_roles``, ``_skills``, ``_matched`` and the score map."""
-    typed = candidates.withColumns({
-        "_roles": _typed_roles(),
+    read = candidates.withColumn("_typed", _typed_roles()).withColumn("_codes", _role_codes())
+    typed = read.withColumns({
+        "_roles": _coded_roles(),
         "_skills": _typed_skills(),
         "_scores": F.coalesce(
             F.col("signals.skill_assessment_scores"),
@@ -297,7 +355,7 @@ def with_skill_features(df: DataFrame) -> DataFrame:
         & (c("_n_off") > c("_n_core"))
         & untechnical
     )
-    strongest = F.array_sort(
+    strongest = F.sort_array(
         F.transform(
             "_matched",
             lambda s: F.struct(

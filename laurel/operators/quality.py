@@ -35,7 +35,7 @@ def honeypot_reasons(as_of: dt.date) -> Column:
         hits = F.transform(
             F.filter("_roles", rule), lambda r: F.struct(r["pos"], text(r).alias("text"))
         )
-        return F.transform(F.array_sort(hits), lambda h: h["text"])
+        return F.transform(F.sort_array(hits), lambda h: h["text"])
 
     tiny = per_role(
         lambda r: r["company_size"].isin(*TINY_COMPANIES) & (r["months"] > 96),
