@@ -95,3 +95,32 @@ def test_only_ids_and_places_are_written_for_ranks(spark, monkeypatch):
         for rank, (_, i) in enumerate(best, 1):
             want[i] = want.get(i, 0.0) + 1 / (60 + rank)
     assert got == pytest.approx(want)
+
+
+def many_rows():
+    """Two in three rows share an id or have none; the words of an id go on over batches."""
+    words = ["tin", "drum", "whistle", "harbour", "tin drum tin", "lights"]
+    return [(None if i % 11 == 0 else i % 7 if i % 3 else 1000 + i,
+             " ".join(words[(i + j) % 6] for j in range(i % 4 + 1))) for i in range(400)]
+
+
+@pytest.mark.parametrize("shared", [0, 3, 100_000])
+def test_rows_of_one_id_are_added_up_over_batches(spark, monkeypatch, shared):
+    monkeypatch.setattr(retrieval, "SHARED_IDS", shared)
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = scores(spark, many_rows()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.qid, r.doc_id): r.score for r in found}
+    assert len(found) == len(got)
+    assert got == pytest.approx(expected(many_rows(), ASKED), abs=1e-9)
+
+
+def test_no_tokens_move_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SHARED_IDS", 0)
+    plan = scores(spark, many_rows())._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 1 and plan.index("Exchange") < plan.index("tokens")
+    assert "Join" not in plan
