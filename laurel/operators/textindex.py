@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from laurel.functions.text import TOKEN_CODES, tokenize
 from laurel.operators.ranking import SCORE_UNITS, fuse_scores, rrf_credit, score_key, top_k
 from laurel.operators.retrieval import EMBEDDING_DIM
-from laurel.session import cut_lineage, materialise
+from laurel.session import cut_lineage, materialise, shuffles_removed
 
 BUCKET_DOCS = 256
 SHARDS = 64
@@ -137,14 +137,18 @@ def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, k1: floa
     blocks = gains.groupBy("bucket", "term").agg(
         F.max("d.gain").alias("top"), F.count(F.lit(1)).alias("n"), F.collect_list("d").alias("docs")
     ).withColumn("shard", F.pmod("term", F.lit(SHARDS)).cast("int"))
-    (
-        blocks.repartition("shard", F.pmod(F.xxhash64("bucket"), F.lit(SPLITS)))
-        .sortWithinPartitions("shard", "term", "bucket")
-        .write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
-    )
-    _blocks(spark, path).groupBy("shard", "term").agg(F.sum("n").alias("df")).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/terms")
+    # a list of ids and one of gains move with less than a list of pairs
+    moved = blocks.withColumns({"_id": c("docs.id"), "_gain": c("docs.gain")}).drop("docs").repartition(
+        "shard", F.pmod(F.xxhash64("bucket"), F.lit(SPLITS))
+    ).sortWithinPartitions("shard", "term", "bucket")
+    with shuffles_removed(spark):
+        moved.select(
+            "bucket", "term", "top", "n",
+            F.arrays_zip(c("_id").alias("id"), c("_gain").alias("gain")).alias("docs"), "shard",
+        ).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
+        _blocks(spark, path).groupBy("shard", "term").agg(F.sum("n").alias("df")).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/terms")
     return read_index(spark, path)
 
 
@@ -213,22 +217,33 @@ def bm25_top(index: TextIndex, queries: DataFrame, query_id: str, text_col: str,
     )
     opened = cut_lineage(top_k(bounds, first, [c("bound").desc(), c("bucket")], query_id, "_at"))
 
-    def scores(places: DataFrame) -> DataFrame:
-        wanted = places.select(query_id, "bucket").join(asked, query_id)
-        return blocks.join(wanted, ["term", "bucket"]).select(
-            query_id, "idf", F.explode("docs").alias("d")
-        ).groupBy(query_id, c("d.id").alias("id")).agg(F.sum(c("idf") * c("d.gain")).alias("score"))
+    def of_buckets(places: DataFrame) -> DataFrame:
+        return places.groupBy("bucket").agg(F.collect_set(query_id).alias("_open"))
+
+    def scores(opened: DataFrame) -> DataFrame:
+        """From blocks (term, bucket, docs, queries that open the bucket), all of a bucket in one task: a
+        document is in one bucket, so that its pairs are added up there and do not move."""
+        return opened.join(F.broadcast(asked), "term").filter(
+            F.array_contains("_open", c(query_id))
+        ).select(query_id, "bucket", "idf", F.explode("docs").alias("d")).groupBy(
+            query_id, "bucket", c("d.id").alias("id")
+        ).agg(F.sum(c("idf") * c("d.gain")).alias("score")).drop("bucket")
 
     def best(rows: DataFrame) -> DataFrame:
         keyed = rows.withColumn("_key", score_key(c("score")))
         return top_k(keyed, k, [c("_key").desc(), c("id")], query_id)
 
-    early = cut_lineage(best(scores(opened)))
+    some = blocks.select("term", "bucket", "docs")
+    early = cut_lineage(best(scores(
+        some.join(F.broadcast(of_buckets(opened)), "bucket").repartition("bucket")
+    )))
     reached = early.filter(c("rank") == k).select(query_id, c("_key").alias("_least"))
     rest = bounds.join(opened.select(query_id, "bucket"), [query_id, "bucket"], "left_anti").join(
         reached, query_id, "left"
     ).filter(c("_least").isNull() | (score_key(c("bound")) >= c("_least")))
-    late = scores(rest).withColumn("_key", score_key(c("score")))
+    late = scores(some.repartition("bucket").join(of_buckets(rest), "bucket")).withColumn(
+        "_key", score_key(c("score"))
+    )
     return best(early.drop("rank", "_key").unionByName(late.drop("_key"))).filter(
         c("_key") > 0
     ).drop("_key")

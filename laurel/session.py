@@ -78,16 +78,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def write_parquet(df: DataFrame, path: str) -> None:
     """Write a table and let go of the shuffle files it was made from, which nothing else reads."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
-    try:
+    with shuffles_removed(df.sparkSession):
         df.write.parquet(path)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
     finally:
         if before is None:
-            conf.unset(CLEANUP)
+            spark.conf.unset(CLEANUP)
         else:
-            conf.set(CLEANUP, before)
+            spark.conf.set(CLEANUP, before)
 
 
 @contextmanager

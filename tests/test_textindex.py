@@ -155,3 +155,20 @@ def test_empty_tables(spark, tmp_path):
     stored = textindex.write_index(one, "doc_id", "text", str(tmp_path / "one"))
     assert textindex.fused_top(stored, ask.limit(0), "qid", "question").count() == 0
     assert [r.id for r in textindex.fused_top(stored, ask, "qid", "question").collect()] == [7]
+
+
+def test_only_blocks_move_in_a_search(spark, monkeypatch, tmp_path):
+    """A document's pairs are added up where its bucket is; gains are not shuffled on their way there."""
+    docs = spark.createDataFrame([(i, f"tin w{i % 5} w{i % 3} tin") for i in range(900)], "doc_id long, text string")
+    monkeypatch.setattr(textindex, "BUCKET_DOCS", 50)
+    index = textindex.write_index(docs, "doc_id", "text", str(tmp_path / "index"))
+    assert index.blocks.agg(F.sum("n")).first()[0] == index.blocks.select(F.explode("docs")).count()
+    asked = spark.createDataFrame([(q, f"w{q} tin") for q in range(6)], "qid long, question string")
+    found = textindex.bm25_top(index, asked, "qid", "question", 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("hashpartitioning(qid" in line and " id#" in line for line in moved)
+    full = {(r.qid, r.doc_id): r.score for r in retrieval.bm25_scores(
+        docs, asked, "doc_id", "text", "qid", "question").collect()}
+    got = {(r.qid, r.id): r.score for r in found.collect()}
+    assert len(got) == 30 and all(full[k] == pytest.approx(v, abs=1e-9) for k, v in got.items())
